@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import is_set_time, micros
-from cellweave.plans import small_broadcast
 
 #: Parts that one entity's events of one type are spread over.
 SALTS = 16
@@ -48,13 +47,11 @@ def entity_features(
     if layout not in ("wide", "map"):
         raise ValueError(f"layout {layout!r}: expected 'wide' or 'map'")
     types = sorted({int(t) for t in types})
-    spark = events.sparkSession
-    of = events.schema[time].dataType.simpleString()
-    known = spark.createDataFrame([(t,) for t in types], f"{kind} {events.schema[kind].dataType.simpleString()}")
+    of, key_of = events.schema[time].dataType.simpleString(), events.schema[kind].dataType.simpleString()
     timed = events.filter(is_set_time(time, of))
-    rows = timed.filter(F.col(entity).isNotNull() & F.col(event).isNotNull()).select(
+    rows = timed.filter(F.col(entity).isNotNull() & F.col(event).isNotNull() & F.col(kind).isin(types)).select(
         F.col(entity).alias("e"), F.col(kind).alias(kind), F.col(time).alias("t"), F.col(event).alias("id")
-    ).join(small_broadcast(known), kind, "left_semi")
+    )
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).repartition("e", kind, "salt")
     once = salted.groupBy("e", kind, "salt", "id").agg(F.max("t").alias("t"))
     parts = once.groupBy("e", kind, "salt").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
@@ -65,7 +62,7 @@ def entity_features(
         F.sum("n").alias("n"), F.max("last").alias("last"), totals.alias("m"), *([lasts.alias("l")] if recency_per_type else [])
     )
     base = entities.select(F.col(entity).alias(entity)).join(merged, F.col(entity) == F.col("e"), "left")
-    now = micros(as_of if as_of is not None else timed.agg(F.max(time)).scalar())
+    now = micros(as_of) if as_of is not None else timed.agg(micros(F.max(time))).scalar()
     out = [
         F.col(entity),
         F.coalesce(F.col("n"), F.lit(0)).alias("n_events"),
@@ -73,7 +70,7 @@ def entity_features(
         ((now - micros("last")) / F.lit(1e6)).alias("seconds_since_last"),
     ]
     if layout == "map":
-        return base.select(*out, F.coalesce("m", F.create_map().cast(f"map<{known.schema[0].dataType.simpleString()},bigint>")).alias("totals"))
+        return base.select(*out, F.coalesce("m", F.create_map().cast(f"map<{key_of},bigint>")).alias("totals"))
     wide = [F.coalesce(F.col("m")[F.lit(t)], F.lit(0)).alias(f"c_{t}") for t in types]
     if recency_per_type:
         wide += [((now - micros(F.col("l")[F.lit(t)])) / F.lit(1e6)).alias(f"s_{t}") for t in types]
