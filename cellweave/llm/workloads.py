@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import fold, is_set_time
+from cellweave.plans import materialize
 from cellweave.llm.distinct import distinct_counts, distinct_state, regrouped
+from cellweave.llm.encoding import damage_report, repaired_texts
+from cellweave.llm.packing import packed_containers
+from cellweave.llm.pairs import co_occurrence, surprising
 from cellweave.llm.runs import collapsed_runs
 from cellweave.llm.subsequences import frequent_subsequences
+from cellweave.llm.tokens import encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +77,59 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed_runs(table(spark, sf_dir, "trail_events"), table(spark, sf_dir, "trail_cols"), least=2).select("first_r_idx", "last_r_idx")
 
 
+# --- problem 6: labels held together
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "frame_cells").filter("value IS NOT NULL AND NOT isnan(value) AND value <> 0")
+    label = fold("cols")
+    return co_occurrence(cells, F.col("uuids"), F.when(label != "", label))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("cols_a", "cols_b", "n_ab", "n_a", "n_b", "n", "ratio")
+
+
+def p6_surprising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = materialize(_pairs(spark, sf_dir), "surprise")
+    items = pairs.select("cols_a").union(pairs.select("cols_b")).distinct().count()
+    return surprising(pairs, items * (items - 1) // 2)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = "n_ab >= 5 AND n_ab * 1000 >= 3 * n AND n_ab * n >= 3 * n_a * n_b"
+    return _pairs(spark, sf_dir).filter(cases).select("cols_a", "cols_b")
+
+
+# --- problem 8: token ids
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+# --- problem 9: containers of 2,048 tokens
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_containers(encode_corpus(table(spark, sf_dir, "documents"), counts_only=True))
+
+
+# --- problem 10: wrongly decoded texts
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_texts(table(spark, sf_dir, "documents")).filter("lost OR size(misread_as) > 0")
+
+
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_report(repaired_texts(table(spark, sf_dir, "documents")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_repaired(spark, sf_dir).select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_patterns": p1_patterns,
@@ -80,6 +138,14 @@ QUERIES: dict[str, Query] = {
     "p2_weeks": p2_weeks,
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
+    "p6_found": p6_found,
+    "p6_counts": p6_counts,
+    "p6_surprising": p6_surprising,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_repaired": p10_repaired,
+    "p10_report": p10_report,
 }
 
 
@@ -108,7 +174,14 @@ s AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY uuids O
 SELECT uuids, any_value(label) AS label, arg_min(r_idx, (timestamps, r_idx)) AS first_r_idx, arg_max(r_idx, (timestamps, r_idx)) AS last_r_idx, min(timestamps) AS started_at, max(timestamps) AS ended_at,
   CAST(epoch_us(max(timestamps)) - epoch_us(min(timestamps)) AS DOUBLE) / 1e6 AS seconds, COUNT(*) AS n_events FROM s GROUP BY uuids, g"""
 
+_PAIRS = f"""WITH b AS (SELECT DISTINCT uuids, {_folded('cols')} AS c FROM frame_cells WHERE uuids IS NOT NULL AND NOT isnan(value) AND value <> 0 AND {_folded('cols')} <> ''),
+s AS (SELECT c, COUNT(*) AS n FROM b GROUP BY c), t AS (SELECT COUNT(DISTINCT uuids) AS n FROM b),
+p AS (SELECT x.c AS cols_a, y.c AS cols_b, COUNT(*) AS n_ab FROM b x JOIN b y ON x.uuids = y.uuids AND x.c < y.c GROUP BY x.c, y.c)
+SELECT cols_a, cols_b, n_ab, a.n AS n_a, z.n AS n_b, t.n AS n, n_ab * CAST(t.n AS DOUBLE) / (CAST(a.n AS DOUBLE) * z.n) AS ratio FROM p JOIN s a ON a.c = cols_a JOIN s z ON z.c = cols_b, t"""
+
 ORACLE: dict[str, str] = {
+    "p6_counts": _PAIRS,
+    "p6_found": f"SELECT cols_a, cols_b FROM ({_PAIRS}) q WHERE n_ab >= 5 AND n_ab * 1000 >= 3 * n AND n_ab * n >= 3 * n_a * n_b",
     "p2_counts": f"WITH h AS ({_HITS}) " + " UNION ALL ".join(_count(s, ("ymd", "cols", "id")) for s in _SETS),
     "p2_weeks": f"WITH h AS ({_HITS}) " + " UNION ALL ".join(_count(s, ("week", "cols")) for s in (("week",), ("week", "cols"))),
     "p2_found": f"WITH h AS ({_HITS}) SELECT a.ymd, a.cols FROM (SELECT ymd, cols, COUNT(DISTINCT u) AS n FROM h WHERE cols IS NOT NULL GROUP BY ymd, cols) a JOIN (SELECT ymd, COUNT(DISTINCT u) AS n FROM h GROUP BY ymd) b ON a.ymd = b.ymd WHERE a.n * 10 >= b.n * 3",
