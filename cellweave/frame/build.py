@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,8 @@ from cellweave.plans.sizes import BROADCAST_BYTES
 
 def label_table(spark: SparkSession, labels: Sequence, kind: str, name: str, col: str = COL) -> DataFrame:
     """(name, col): labels and their places; broadcast if their checked size allows it."""
-    table = spark.createDataFrame(pd.DataFrame({name: pd.Series(list(labels), dtype=object), col: np.arange(len(labels), dtype=np.int32)}), f"`{name}` {kind}, {col} int")
+    local = pa.table({name: pa.array(list(labels)) if len(labels) else pa.array([], pa.string()), col: pa.array(np.arange(len(labels), dtype=np.int32))})
+    table = spark.createDataFrame(local).select(F.col(f"`{name}`").cast(kind).alias(name), col)
     size = sum(len(str(x)) + 32 for x in labels)
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 

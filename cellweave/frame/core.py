@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +134,7 @@ class SparseFrame:
 
     def _named(self) -> DataFrame:
         """The physical rows with the index columns under their own names too."""
-        return self._df.select("*", *(F.col(p).alias(str(n)) for n, p in self._index))
+        return self._df.select("*", *(F.col(p).alias(n) for n, p in zip(self.index_labels(), self._keys)))
 
     def wide_labels(self) -> list[str]:
         """Names of the wide columns: labels as strings, repeated ones with _2, _3, ..."""
@@ -244,7 +245,7 @@ class SparseFrame:
         """All rows, dense, on the driver. One column gives a Series."""
         names = self.index_labels()
         rows = self._rows()
-        if rows._order != rows._keys:
+        if rows._order:
             rows = rows._with(df=rows._df.orderBy(*rows._order))
         out = _checked(rows.to_wide().toPandas)
         if self._must_exist is not None and out.empty:
@@ -359,8 +360,8 @@ class SparseFrame:
         n = numbered._df.count()
         if len(values) != n:
             raise ValueError(f"{len(values)} values for {n} rows")
-        kind = "boolean" if values.dtype == bool else "double" if np.issubdtype(values.dtype, np.number) else "string"
-        local = self._df.sparkSession.createDataFrame(pd.DataFrame({pos: np.arange(n), val: values}), f"{pos} bigint, {val} {kind}")
+        column = pa.array(values.astype("datetime64[us]") if values.dtype.kind == "M" else values)
+        local = self._df.sparkSession.createDataFrame(pa.table({pos: pa.array(np.arange(n)), val: column}))
         return numbered._with(df=numbered._df.join(local, pos)), F.col(val)
 
     @property
@@ -379,9 +380,8 @@ class SparseFrame:
 
     def _filtered(self, condition: Column, **change: Any) -> SparseFrame:
         """Rows that meet a condition over the index columns under their own names, or physical ones."""
-        names = {str(n): p for n, p in self._index}
-        clash = [n for n in names if n in self._df.columns]
-        rows = self._named() if not clash else self._df
+        clash = set(self.index_labels()) & set(self._df.columns)
+        rows = self._df if clash else self._named()
         return self._with(df=rows.filter(condition).select(*self._df.columns), **change)
 
     def dropna(self) -> SparseFrame:

@@ -50,28 +50,28 @@ def entity_features(
     of, key_of = events.schema[time].dataType.simpleString(), events.schema[kind].dataType.simpleString()
     timed = events.filter(is_set_time(time, of))
     rows = timed.filter(F.col(entity).isNotNull() & F.col(event).isNotNull() & F.col(kind).isin(types)).select(
-        F.col(entity).alias("e"), F.col(kind).alias(kind), F.col(time).alias("t"), F.col(event).alias("id")
+        F.col(entity).alias("__e"), F.col(kind).alias("__k"), F.col(time).alias("t"), F.col(event).alias("id")
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).repartition("e", kind, "salt")
-    once = salted.groupBy("e", kind, "salt", "id").agg(F.max("t").alias("t"))
-    parts = once.groupBy("e", kind, "salt").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
-    pairs = parts.drop("salt").repartition("e").groupBy("e", kind).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    totals = F.map_from_entries(F.collect_list(F.struct(F.col(kind), F.col("n"))))
-    lasts = F.map_from_entries(F.collect_list(F.struct(F.col(kind), F.col("last"))))
-    merged = pairs.groupBy("e").agg(
-        F.sum("n").alias("n"), F.max("last").alias("last"), totals.alias("m"), *([lasts.alias("l")] if recency_per_type else [])
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).repartition("__e", "__k", "salt")
+    once = salted.groupBy("__e", "__k", "salt", "id").agg(F.max("t").alias("t"))
+    parts = once.groupBy("__e", "__k", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
+    pairs = parts.drop("salt").repartition("__e").groupBy("__e", "__k").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    totals = F.map_from_entries(F.collect_list(F.struct("__k", "n")))
+    lasts = F.map_from_entries(F.collect_list(F.struct("__k", "last")))
+    merged = pairs.groupBy("__e").agg(
+        F.sum("n").alias("__n"), F.max("last").alias("__last"), totals.alias("__m"), *([lasts.alias("__l")] if recency_per_type else [])
     )
-    base = entities.select(F.col(entity).alias(entity)).join(merged, F.col(entity) == F.col("e"), "left")
+    base = entities.select(entity).join(merged, F.col(entity) == F.col("__e"), "left")
     now = micros(as_of) if as_of is not None else timed.agg(micros(F.max(time))).scalar()
     out = [
         F.col(entity),
-        F.coalesce(F.col("n"), F.lit(0)).alias("n_events"),
-        F.col("last").alias("last_at"),
-        ((now - micros("last")) / F.lit(1e6)).alias("seconds_since_last"),
+        F.coalesce(F.col("__n"), F.lit(0)).alias("n_events"),
+        F.col("__last").alias("last_at"),
+        ((now - micros("__last")) / F.lit(1e6)).alias("seconds_since_last"),
     ]
     if layout == "map":
-        return base.select(*out, F.coalesce("m", F.create_map().cast(f"map<{key_of},bigint>")).alias("totals"))
-    wide = [F.coalesce(F.col("m")[F.lit(t)], F.lit(0)).alias(f"c_{t}") for t in types]
+        return base.select(*out, F.coalesce("__m", F.create_map().cast(f"map<{key_of},bigint>")).alias("totals"))
+    wide = [F.coalesce(F.col("__m")[F.lit(t)], F.lit(0)).alias(f"c_{t}") for t in types]
     if recency_per_type:
-        wide += [((now - micros(F.col("l")[F.lit(t)])) / F.lit(1e6)).alias(f"s_{t}") for t in types]
+        wide += [((now - micros(F.col("__l")[F.lit(t)])) / F.lit(1e6)).alias(f"s_{t}") for t in types]
     return base.select(*out, *wide)
