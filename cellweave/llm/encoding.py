@@ -65,17 +65,22 @@ def _likely(char: str) -> bool:
     return any(a <= code <= b for a, b in _COMMON) and unicodedata.category(char) not in ("Cn", "Co", "Cs", "Cc")
 
 
+#: Letters of living Cyrillic alphabets that a one-byte encoding keeps apart from the main row.
+_BEYOND = "ЁёІіЇїЄєҐґЎў"
+
+
 def _accepted(text: str, start: int, end: int, decoded: str) -> bool:
     if not all(map(_likely, decoded)):
         return False
     if len(decoded) == 1:
         written = text[start:end]
         before = text[max(0, start - 2) : start]
-        # Capitals and a sign, as in a trade mark, not a small letter within capitals.
-        if decoded.islower() and len(before) == 2 and before.isalpha() and before.isupper():
+        # Capitals and a sign, as in a trade mark, not a small letter or an accent within capitals.
+        if (decoded.islower() or unicodedata.combining(decoded)) and len(before) == 2 and before.isalpha() and before.isupper():
             return False
-        # A Russian capital with the letter that only Russian has beyond the main row.
-        if all("Ѐ" <= c <= "џ" for c in written):
+        # A Cyrillic capital before a letter from beyond the main row is a word's beginning, or capitals.
+        beside = text[max(0, start - 1) : start] + text[end : end + 1]
+        if written[1] in _BEYOND and "Ѐ" <= written[0] <= "џ" and not re.search("[A-Za-z]", beside) and (written[1].islower() or any("Ѐ" <= c <= "џ" and c.isupper() for c in beside)):
             return False
         if unicodedata.combining(decoded) and not before[-1:].isalpha():
             return False
@@ -141,7 +146,8 @@ _POLISH = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 
 def _decode_russian(text: str) -> tuple[str, str | None]:
     words = _ACCENTED.findall(text)
-    if sum(len(w) for w in words) >= 4 and any(sum(c.isalpha() for c in w) >= 3 for w in words):
+    letters = sum(len(w) for w in words)
+    if letters >= 4 and letters > max(_decode_spans(text, e)[1] for e in ENCODINGS) and any(sum(c.isalpha() for c in w) >= 3 for w in words):
         def russian(encoding: str) -> int:
             read = "".join(words).encode("latin-1").decode(encoding, "replace")
             return sum(c in "оеаинтсрвл" for c in read)
