@@ -138,7 +138,7 @@ def _decode_wide(text: str) -> tuple[str, int]:
 
 # One-byte encodings read as another leave no byte structure: whole words of accented letters are Cyrillic,
 # and signs within Latin words Polish.
-_ACCENTED = re.compile("[\xc0-\xff\xa8\xb8]{3,}")
+_ACCENTED = re.compile("(?<![A-Za-z\xc0-\xff])[\xc0-\xff\xa8\xb8]{3,}(?![A-Za-z\xc0-\xff])")
 _POLISH_STRONG = re.compile("(?<=[^\\W\\d_])[\xb3\xb9\xbf\xb6\xbc\xb1\xa5](?=[^\\W\\d_])|(?<![\\w.,])\xb3(?=[^\\W\\d_]{2})|(?<![A-Z])Ÿ(?=[a-z])|(?<=[^\\W\\d_])\xbf(?!\\w)")
 _POLISH_WEAK = re.compile("(?<=[^\\W\\d_m])[\xb3\xb9\xb1](?!\\w)")  # m\xb3 is a unit
 _POLISH = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
@@ -181,6 +181,14 @@ def _decode_polish(text: str) -> tuple[str, str | None]:
     return text, None
 
 
+# An a with grave accent whose second byte, a no-break space, became a common space.
+_SPACED = re.compile("(?<=[a-z])Ã |(?<!\\w)Ã (?=[a-z ])")
+
+# Sequences of windows-1252 that lost a byte without a character: quotes, ligatures and signs beyond the
+# basic plane of which the rest still stands.
+_TORN = re.compile("â€(?![\\w\x80-\xbf])|ï[¬»](?![\x80-\xbf])|ðŸ|ð[“”][\x80-\xbf‚„…†‡ˆ‰‹‘-”•–—˜™›]")
+
+
 def repaired(text: str) -> tuple[str, list[str], bool]:
     """The text as it was written as far as it can be known, the encodings it was misread in, in the order
     of repair, and whether characters of it are lost for good."""
@@ -204,9 +212,14 @@ def repaired(text: str) -> tuple[str, list[str], bool]:
             break
         text = best
         steps.append(name)
+    whole = _SPACED.sub("à", text)
+    if whole != text:
+        text = whole
+        steps += [] if "cp1252" in steps else ["cp1252"]
     text, name = _decode_polish(text)
     if name:
         steps.append(name)
+    lost = lost or bool(_TORN.search(text))
     return text, steps, lost
 
 
@@ -226,7 +239,7 @@ def _repair(column: str):
 
 def repaired_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the text as restored, ``misread_as`` (the encodings undone, in order) and ``lost`` (whether
-    it holds replacement characters, so that some of it is lost for good), for each row of docs.
+    it holds replacement characters or torn sequences, so that some of it is lost for good), for each row of docs.
 
     A row is damaged if ``misread_as`` isn't empty or ``lost`` is true; the text of other rows is unchanged.
     Null and empty texts are undamaged. Texts are repaired where they are read, without a shuffle, and only
