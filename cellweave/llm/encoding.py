@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.plans import spread
+
 #: Legacy encodings that UTF-8 may have been read in, the likelier first; of those that explain equally much
 #: of a text the first is taken.
 ENCODINGS = ("cp1252", "iso8859_15", "cp1250", "iso8859_2", "cp1251", "mac_roman", "cp850", "cp437")
@@ -182,7 +184,7 @@ def _decode_polish(text: str) -> tuple[str, str | None]:
 
 
 # An a with grave accent whose second byte, a no-break space, became a common space.
-_SPACED = re.compile("(?<=[a-z])Ã |(?<!\\w)Ã (?=[a-z ])")
+_SPACED = re.compile("(?:(?<=[a-z])|(?<!\\w))Ã (?: ?(?P<word>(?=[a-z]))|(?=[^\\w ]))")
 
 # Sequences of windows-1252 that lost a byte without a character: quotes, ligatures and signs beyond the
 # basic plane of which the rest still stands.
@@ -212,7 +214,7 @@ def repaired(text: str) -> tuple[str, list[str], bool]:
             break
         text = best
         steps.append(name)
-    whole = _SPACED.sub("à", text)
+    whole = _SPACED.sub(lambda m: "à" if m["word"] is None else "à ", text)
     if whole != text:
         text = whole
         steps += [] if "cp1252" in steps else ["cp1252"]
@@ -242,9 +244,10 @@ def repaired_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     it holds replacement characters or torn sequences, so that some of it is lost for good), for each row of docs.
 
     A row is damaged if ``misread_as`` isn't empty or ``lost`` is true; the text of other rows is unchanged.
-    Null and empty texts are undamaged. Texts are repaired where they are read, without a shuffle, and only
-    those beyond ASCII are sent through the automaton.
+    Null and empty texts are undamaged. Texts are repaired where they are read, only an input of fewer
+    splits than cores being spread first, and only those beyond ASCII are sent through the automaton.
     """
+    docs = spread(docs.select(*keep, text), *keep)
     plain = F.col(text).isNull() | ~F.col(text).rlike("[^\\x00-\\x7f]")
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField("misread_as", T.ArrayType(T.StringType())), T.StructField("lost", T.BooleanType())])

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cellweave.plans import spread
+
 #: Folder of the public vocabularies, and the pattern that splits text before the merges (fixed values).
 TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -185,9 +187,6 @@ def encode_corpus(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(f"{folder}/{vocabulary}.tiktoken"))
-    rows = docs.select(*keep, text)
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, *keep)
+    rows = spread(docs.select(*keep, text), *keep)
     made = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(_encoder(ranks, text, counts_only), T.StructType([*(rows.schema[c] for c in keep), made]))
