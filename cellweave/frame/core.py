@@ -54,11 +54,39 @@ class SparseFrame:
     @classmethod
     def _made(cls, df: DataFrame, index: Sequence[tuple[Any, str]], order: Sequence[str], labels: Sequence, refs: Sequence, layout: str, unique: bool = False, must_exist: Any = None) -> SparseFrame:
         f = cls.__new__(cls)
-        f._df, f._index, f._order, f._labels, f._refs, f._layout = df, list(index), list(order), tuple(labels), tuple(refs), layout
+        f._raw, f._index, f._order, f._layout = df, list(index), list(order), layout
+        f._known = None if labels is None else (tuple(labels), tuple(refs))
         f._unique, f._must_exist, f._shape, f._nnz = unique, must_exist, None, None
         return f
 
+    # A LONG frame whose labels aren't known yet has the label itself in COL. Whatever needs the labels finds
+    # them, once, by a job.
+
+    def _resolve(self) -> None:
+        from cellweave.frame.build import column_ids
+
+        if self._known is None:
+            labels, coded = column_ids(self._raw.withColumnRenamed(COL, "__raw"), "__raw", None)
+            self._raw, self._known = coded.select(*self._kept, COL, VALUE), (labels, tuple(range(len(labels))))
+
+    @property
+    def _df(self) -> DataFrame:
+        self._resolve()
+        return self._raw
+
+    @property
+    def _labels(self) -> tuple:
+        self._resolve()
+        return self._known[0]
+
+    @property
+    def _refs(self) -> tuple:
+        self._resolve()
+        return self._known[1]
+
     def _with(self, **change: Any) -> SparseFrame:
+        if self._known is None and not change.keys() - {"index", "order", "unique"}:
+            return SparseFrame._made(**{"df": self._raw, "index": self._index, "order": self._order, "labels": None, "refs": None, "layout": LONG, "unique": self._unique} | change)
         given = {"df": self._df, "index": self._index, "order": self._order, "labels": self._labels, "refs": self._refs, "layout": self._layout, "unique": self._unique}
         return SparseFrame._made(**given | change)
 
@@ -80,14 +108,16 @@ class SparseFrame:
     @classmethod
     def from_long(cls, df: DataFrame, index: str | Sequence[str], col: str, value: str, columns: Sequence | None = None) -> SparseFrame:
         """Rows (index, col, value) as cells; equal (index, col) are summed, so an index key is one row.
-        A null col gives a row without cells. Labels that aren't given are found by a job, in order."""
+        A null col gives a row without cells. Labels that aren't given are those that occur, ascending; they
+        are found by a job when an operation needs them, which grouping and the long form don't."""
         from cellweave.frame.build import column_ids
 
         index = [index] if isinstance(index, str) else list(index)
-        labels, coded = column_ids(df, col, columns)
+        labels, coded = (None, df) if columns is None else column_ids(df, col, columns)
         keys = [(c, fresh("i")) for c in index]
-        base = coded.select(*(F.col(c).alias(p) for c, p in keys), F.col(COL), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(VALUE))
-        return cls._made(base, keys, [p for _, p in keys], labels, range(len(labels)), LONG, unique=True)
+        place = F.col(col).alias(COL) if columns is None else F.col(COL)
+        base = coded.select(*(F.col(c).alias(p) for c, p in keys), place, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(VALUE))
+        return cls._made(base, keys, [p for _, p in keys], labels, labels and range(len(labels)), LONG, unique=True)
 
     # --- layouts
 
@@ -157,9 +187,13 @@ class SparseFrame:
         """(index, col, value) of the non-zero cells. Labels must be of one type."""
         from cellweave.frame.build import labelled
 
+        names = [F.col(p).alias(n) for n, p in zip(self.index_labels(), self._keys)]
+        if self._known is None:
+            summed = self._raw.filter(F.col(COL).isNotNull()).groupBy(*self._keys, COL).agg(F.sum(VALUE).alias(VALUE)).filter(F.col(VALUE) != 0)
+            return summed.select(*names, F.col(COL).alias(col), F.col(VALUE).alias(value))
         rows = self._summed() if self._layout == LONG else long_rows(self._df, self._keys, self._layout, self._refs, outer=False)
         rows = rows.filter(F.col(COL).isNotNull() & (F.col(VALUE) != 0))
-        return labelled(rows, self._labels, col).select(*(F.col(p).alias(n) for n, p in zip(self.index_labels(), self._keys)), col, F.col(VALUE).alias(value))
+        return labelled(rows, self._labels, col).select(*names, col, F.col(VALUE).alias(value))
 
     values = data = property(to_long)
 
@@ -314,7 +348,7 @@ class SparseFrame:
     def rename(self, columns: Callable[[Any], Any], inplace: bool = False) -> SparseFrame | None:
         labels = tuple(columns(c) for c in self._labels)
         if inplace:
-            self._labels = labels
+            self._known = (labels, self._refs)
             return None
         return self._with(labels=labels)
 
@@ -462,6 +496,8 @@ class SparseFrame:
             if not isinstance(by, (str, Column)):
                 frame = frame.rename_index("by")
         keys = frame._keys
+        if frame._known is None:
+            return frame._with(order=keys, unique=True)
         if frame._layout == WIDE:
             sums = frame._df.groupBy(*keys).agg(*(F.sum(r).alias(r) for r in dict.fromkeys(frame._refs) if r not in keys), *(F.lit(1).alias("__one") for _ in [0] if not frame._refs))
             return frame._with(df=sums, order=keys, unique=True)

@@ -3,5 +3,6 @@
 from cellweave.plans.materialize import materialize, shared_dir
 from cellweave.plans.position import with_position
 from cellweave.plans.sizes import estimated_bytes, small_broadcast
+from cellweave.plans.spread import spread
 
-__all__ = ["estimated_bytes", "materialize", "shared_dir", "small_broadcast", "with_position"]
+__all__ = ["estimated_bytes", "materialize", "shared_dir", "small_broadcast", "spread", "with_position"]

@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, or else a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

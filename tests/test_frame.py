@@ -366,3 +366,27 @@ def test_streaming_sums(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("sums").collect())) == sorted(map(tuple, build(src).collect()))
+
+
+def test_public_names(spark):
+    import cellweave
+
+    assert cellweave.sparse_one_hot is cellweave.one_hot_encode is cellweave.one_hot
+    assert cellweave.from_pandas(pd.DataFrame({"a": [1.0, 2.0]}), npartitions=2, spark=spark).shape == (2, 1)
+
+
+def test_labels_of_a_long_frame_are_found_when_needed(spark):
+    df = spark.createDataFrame([("a", "y", 1.0), ("b", "x", 2.0), ("b", "x", 3.0)], "k string, c string, v double")
+    f = SparseFrame.from_long(df, "k", "c", "v").groupby_sum()
+    assert f._known is None and sorted(map(tuple, f.to_long().collect())) == [("a", "y", 1.0), ("b", "x", 5.0)] and f._known is None
+    assert f.columns == ("x", "y") and f.todense().to_numpy().tolist() == [[0, 1], [5, 0]]
+    assert f.add(f).todense().to_numpy().tolist() == [[0, 2], [10, 0]]
+
+
+def test_core_does_not_import_the_subpackage():
+    from pathlib import Path
+
+    import cellweave
+
+    root = Path(cellweave.__file__).parent
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
