@@ -1,5 +1,12 @@
 """cellweave: labelled sparse frames and event-stream operators as lazy Spark plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers carry their code along, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from cellweave.frame import SparseFrame, concat, event_matrix, one_hot, vstack
 
 #: Names under which users of eager and of partitioned sparse frames know these functions. All frames are
