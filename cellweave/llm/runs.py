@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import fold, is_set_time, micros
@@ -53,8 +53,9 @@ def canonical_labels(types: DataFrame, kind: str = "c_idx", label: str = "cols")
     """(kind, canon, label): the folded label of each type and the least type with that label. Null and
     blank labels are one label, ''."""
     named = types.filter(F.col(kind).isNotNull()).select(F.col(kind), F.coalesce(fold(label), F.lit("")).alias("label")).distinct()
-    least = named.groupBy("label").agg(F.min(kind).cast("int").alias("canon"))
-    return named.join(least, "label").select(kind, "canon", "label")
+    # A label's types are few; the window needs no join, so the table's size estimate stays that of types.
+    least = F.min(kind).over(Window.partitionBy("label")).cast("int")
+    return named.select(kind, least.alias("canon"), "label")
 
 
 def collapsed_runs(
