@@ -71,7 +71,10 @@ def entity_features(
     ]
     if layout == "map":
         return base.select(*out, F.coalesce("__m", F.create_map().cast(f"map<{key_of},bigint>")).alias("totals"))
-    wide = [F.coalesce(F.col("__m")[F.lit(t)], F.lit(0)).alias(f"c_{t}") for t in types]
+    # One parsed string a type: hundreds of columns built call by call take the driver seconds.
+    wide = [f"coalesce(__m[CAST({t} AS {key_of})], 0L) AS c_{t}" for t in types]
+    facts = [F.col("__m")]
     if recency_per_type:
-        wide += [((now - micros(F.col("__l")[F.lit(t)])) / F.lit(1e6)).alias(f"s_{t}") for t in types]
-    return base.select(*out, *wide)
+        facts += [F.transform_values("__l", lambda k, v: micros(v)).alias("__l"), now.alias("__now")]
+        wide += [f"(__now - __l[CAST({t} AS {key_of})]) / 1e6D AS s_{t}" for t in types]
+    return base.select(*out, *facts).selectExpr(f"`{entity}`", "n_events", "last_at", "seconds_since_last", *wide)
