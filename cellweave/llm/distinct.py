@@ -29,9 +29,11 @@ def error_bound(n: float) -> float:
 def distinct_state(df: DataFrame, identifier: Column, groups: Mapping[str, Column], bits: int = BUCKET_BITS) -> DataFrame:
     """The state of df: distinct rows (bucket, h, groups).
 
-    Rows with a null identifier are left out; null groups are kept. Repetitions are removed before the
+    Rows with a null identifier are left out; null groups are kept. Groups called bucket or h are a ValueError. Repetitions are removed before the
     shuffle, so an identifier with a third of all rows sends one row a group and input split.
     """
+    if {"bucket", "h"} & set(groups):
+        raise ValueError("groups can't be called bucket or h")
     named = df.select(identifier.alias("__id"), *(c.alias(g) for g, c in groups.items())).filter("__id IS NOT NULL")
     h = F.xxhash64("__id")
     hashed = named.select(F.shiftrightunsigned(h, 64 - bits).cast("int").alias("bucket"), h.alias("h"), *groups)

@@ -247,6 +247,8 @@ def repaired_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     Null and empty texts are undamaged. Texts are repaired where they are read, only an input of fewer
     splits than cores being spread first, and only those beyond ASCII are sent through the automaton.
     """
+    if {"misread_as", "lost", text} & set(keep):
+        raise ValueError("keep holds the text or a column of the result")
     docs = spread(docs.select(*keep, text), *keep)
     plain = F.col(text).isNull() | ~F.col(text).rlike("[^\\x00-\\x7f]")
     fields = [docs.schema[c] for c in keep]

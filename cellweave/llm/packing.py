@@ -91,6 +91,8 @@ def packed_containers(items: DataFrame, item: str = "doc_id", tokens: str = "n_t
     An item without tokens, or with a null number, takes no room: it has one row with n_tokens 0 and null
     container. Items must be unique; an empty input gives no row. Results don't depend on partitioning.
     """
+    if item in ("piece", "token_start", "n_tokens", "container_id", "container_offset"):
+        raise ValueError(f"{item!r} is a column of the result")
     if max_loss is None:
         max_loss = capacity
     limits = (capacity, max_segments, max_loss)

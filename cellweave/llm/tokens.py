@@ -185,6 +185,8 @@ def encode_corpus(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     read; only an input of fewer splits than cores is spread first. The vocabulary, of fixed size, is
     read on the driver from ``folder``/``vocabulary``.tiktoken and broadcast.
     """
+    if {"ids", "n_tokens", text} & set(keep):
+        raise ValueError("keep holds the text or a column of the result")
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(f"{folder}/{vocabulary}.tiktoken"))
     rows = spread(docs.select(*keep, text), *keep)

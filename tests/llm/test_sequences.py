@@ -172,6 +172,8 @@ def test_distinct_counts(spark):
     assert distinct_counts(state(df.limit(0)), sets).count() == 0
     with pytest.raises(ValueError):
         distinct_counts(state(df), [("week",)])
+    with pytest.raises(ValueError):
+        distinct_state(df, F.col("u"), {"h": F.col("day")})
     assert error_bound(1e9) < 0.03 and error_bound(0) == 0
     plan = distinct_counts(state(df), sets)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3  # repetitions, buckets, sums of counts

@@ -174,3 +174,10 @@ def test_lost_bytes_and_spaces():
         assert repaired(torn)[2]
     assert not repaired("„orð“ og „borð”")[2]
     assert repaired("Em quêção éçã compara\xe7\xe3o")[1] == []
+
+
+def test_names_of_results_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "ids int, text string, lost int")
+    for call in (lambda: encode_corpus(df, keep=("ids",)), lambda: repaired_texts(df, keep=("lost",)), lambda: packed_containers(df.withColumnRenamed("ids", "piece"), item="piece", tokens="lost")):
+        with pytest.raises(ValueError):
+            call()
