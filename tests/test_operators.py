@@ -136,6 +136,10 @@ def test_features_layouts_and_empty(spark):
     wide = entity_features(df, trails, [0, 1], recency_per_type=True)
     assert [c for c in wide.columns if c[:2] in ("c_", "s_")] == ["c_0", "c_1", "s_0", "s_1"]
     assert wide.count() == 2  # listed twice, two rows
+    trail = known(made(200))
+    end, last = max(e[0] for v in trail.values() for e in v), max(e[0] for e in trail["hot"] if e[2] == 1)
+    assert wide.first().s_1 == (end - last).total_seconds()
+    assert entity_features(df, trails, [0, 1], as_of=F.lit(at(0)).cast("timestamp_ntz"), recency_per_type=True).first().s_1 == (T0 - last).total_seconds()
     m = entity_features(df, trails, [0, 1], layout="map").first()
     assert m.totals == {k: v for k, v in ((0, wide.first().c_0), (1, wide.first().c_1)) if v}
     none = entity_features(spark.createDataFrame([], EVENTS), trails, [0]).first()
