@@ -206,6 +206,8 @@ class SparseFrame:
     @property
     def index(self) -> Column:
         """The first index column, for conditions such as sf.loc[sf.index > 2]."""
+        if not self._index:
+            raise ValueError("the frame has no index")
         return F.col(self.index_labels()[0])
 
     @property
@@ -238,7 +240,7 @@ class SparseFrame:
 
     @property
     def empty(self) -> bool:
-        return 0 in (len(self._labels),) or self._df.isEmpty()
+        return not self._labels or self._df.isEmpty()
 
     @property
     def npartitions(self) -> int:
@@ -385,6 +387,8 @@ class SparseFrame:
     def with_positions(self, name: str) -> SparseFrame:
         """The frame with a hidden column of 0-based row positions."""
         rows = self._rows()
+        if not rows._order:
+            raise ValueError("positions need an index or order_by")
         return rows._with(df=with_position(rows._df, rows._order, name), order=[name])
 
     def _by_position(self, values: np.ndarray) -> tuple[SparseFrame, Column]:
@@ -604,13 +608,10 @@ class SparseFrame:
 
     def map_partitions(self, func: Callable[..., pd.DataFrame], meta: Any = None, **kwargs: Any) -> SparseFrame:
         """func applied to pandas batches of the wide form; ``meta`` gives the labels of its result, by
-        default the same. The index columns stay. Rows without cells stay."""
+        default the same. Index columns and rows without cells stay; positions follow the index afterwards."""
         labels = self._labels if meta is None else tuple(meta.columns if hasattr(meta, "columns") else meta)
         wide, names = self.to_wide(), self.index_labels()
-        order = [c for c in self._rows()._order if c not in self._keys]
-        del order  # positions follow the index afterwards
-        probe = SparseFrame._made(self._df, self._index, self._order, labels, labels, WIDE)
-        cells = probe.wide_labels()
+        cells = self._with(labels=labels, refs=labels).wide_labels()
         schema = T.StructType([*(wide.schema[n] for n in names), *(T.StructField(c, T.DoubleType()) for c in cells)])
 
         def run(batches):

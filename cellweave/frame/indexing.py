@@ -34,7 +34,8 @@ def period(text: str) -> tuple[pd.Timestamp, pd.Timestamp]:
 
 class Loc:
     """Rows by label of the first index level: one label, a list of labels, a slice with both ends, partial
-    dates on times, a condition (a Column over the index names), or an array of one boolean a row."""
+    dates on times, a condition (a Column over the index names), or an array of one boolean a row. A tuple
+    holds labels of the first levels of several; columns are selected by [] and not here."""
 
     def __init__(self, frame: SparseFrame):
         self.frame = frame
@@ -44,6 +45,13 @@ class Loc:
         col, kind = F.col(f._keys[0]), f._df.schema[f._keys[0]].dataType
         if isinstance(key, Column):
             return f._filtered(key)
+        if isinstance(key, tuple):
+            if len(key) > len(f._keys):
+                raise NotImplementedError("labels are of rows; [] gives columns")
+            keep = F.lit(True)
+            for label, p in zip(key, f._keys):
+                keep = keep & (F.col(p) == self._lit(label, f._df.schema[p].dataType))
+            return f._filtered(keep, must_exist=key)
         if isinstance(key, slice):
             if key.step is not None:
                 raise ValueError("a label slice has no step")

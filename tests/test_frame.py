@@ -157,6 +157,15 @@ def test_labels(eye):
     assert f.loc[["D", "A", "D"]].todense().index.tolist() == ["D", "A", "D"]
     with pytest.raises(KeyError):
         f.loc["Z"].todense()
+    two = SparseFrame(pd.DataFrame({"v": [1, 2, 3]}, index=pd.MultiIndex.from_tuples([("a", 1), ("a", 2), ("b", 1)])), spark=f._df.sparkSession)
+    assert two.loc["a", 2].shape == (1, 1) and two.loc["a"].shape == (2, 1)
+    with pytest.raises(NotImplementedError):
+        f.loc["A", "B"]
+    bare = one_hot(f._df.sparkSession.createDataFrame([("x",)], "c string"), "c", ["x", "y"])
+    assert bare.to_wide().columns == ["x", "y"] and bare.sum() == 1
+    for call in (lambda: bare.index, lambda: bare.iloc[[0]]):
+        with pytest.raises(ValueError):
+            call()
     n = eye(5)
     assert n.loc[n.index > 2].todense().index.tolist() == [3, 4]
     assert n.loc[np.array([True, False, False, True, False])].todense().index.tolist() == [0, 3]
