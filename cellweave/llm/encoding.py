@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.llm.cyrillic import decode_cyrillic
 from cellweave.plans import spread
 
 #: Legacy encodings that UTF-8 may have been read in, the likelier first; of those that explain equally much
@@ -138,7 +139,7 @@ def _decode_wide(text: str) -> tuple[str, int]:
     return _WIDE.sub(one, text), covered
 
 
-# One-byte encodings read as another leave no byte structure: whole words of accented letters are Cyrillic,
+# One-byte encodings read as Latin leave no byte structure: whole words of accented letters are Cyrillic,
 # and signs within Latin words Polish.
 _ACCENTED = re.compile("(?<![A-Za-z\xc0-\xff])[\xc0-\xff\xa8\xb8]{3,}(?![A-Za-z\xc0-\xff])")
 _POLISH_STRONG = re.compile("(?<=[^\\W\\d_])[\xb3\xb9\xbf\xb6\xbc\xb1\xa5](?=[^\\W\\d_])|(?<![\\w.,])\xb3(?=[^\\W\\d_]{2})|(?<![A-Z])Ÿ(?=[a-z])|(?<=[^\\W\\d_])\xbf(?!\\w)")
@@ -201,6 +202,11 @@ def repaired(text: str) -> tuple[str, list[str], bool]:
     text, name = _decode_russian(text)
     if name:
         steps.append(name)
+    new, letters, name = decode_cyrillic(text)
+    if name and letters > max(_decode_spans(text, e)[1] for e in ENCODINGS):
+        text = new
+        steps.append(name)
+    seen = text if not name else None  # nothing in it
     for _ in range(PASSES * 2):  # parts of a text may differ
         best, gain = None, 0
         for e in ENCODINGS:
@@ -214,6 +220,9 @@ def repaired(text: str) -> tuple[str, list[str], bool]:
             break
         text = best
         steps.append(name)
+    text, _, name = decode_cyrillic(text) if text != seen else (text, 0, None)
+    if name:
+        steps.append(name)
     whole = _SPACED.sub(lambda m: "à" if m["word"] is None else "à ", text)
     if whole != text:
         text = whole
@@ -242,6 +251,7 @@ def _repair(column: str):
 def repaired_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the text as restored, ``misread_as`` (the encodings undone, in order) and ``lost`` (whether
     it holds replacement characters or torn sequences, so that some of it is lost for good), for each row of docs.
+    Cyrillic text that was read in another Cyrillic encoding is given as the written one, a stroke and the read one.
 
     A row is damaged if ``misread_as`` isn't empty or ``lost`` is true; the text of other rows is unchanged.
     Null and empty texts are undamaged. Texts are repaired where they are read, only an input of fewer

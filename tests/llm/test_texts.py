@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cellweave.llm.cyrillic import ENCODINGS as CYRILLIC
 from cellweave.llm.encoding import damage_report, repaired, repaired_texts
 from cellweave.llm.packing import pack, packed_containers
 from cellweave.llm.tokens import PATTERN, TOKENIZERS, MergeReplay, _Task, encode_corpus, load_ranks
@@ -158,6 +159,27 @@ def test_repair_never_fails(text):
     assert isinstance(new, str) and (steps or new == text) and (lost or "�" not in text)
 
 
+@pytest.mark.parametrize("written", CYRILLIC)
+@pytest.mark.parametrize("read", CYRILLIC)
+def test_cyrillic_read_as_cyrillic(written, read):
+    """Wholly and in part; runs of another script and signs among them stay or come along."""
+    def bad(text):
+        return "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in text.encode(written))
+
+    if written == read:
+        return
+    for text in ("Продавец ответил на второй день, спасибо", "Доставка заняла 35 дней. Советую"):
+        assert repaired(bad(text)) == (text, [f"{written}/{read}"], False)
+        assert repaired("Le goût du café: " + bad(text) + "! Ткань приятно удивляет.")[0] == "Le goût du café: " + text + "! Ткань приятно удивляет."
+
+
+def test_little_misread_cyrillic():
+    assert repaired("чЕТОХМЙ") == ("Вернули", ["koi8_r/cp1251"], False)
+    assert repaired("кнопка ЧЩЗМСДЙФ МХЮЫЕ, ЮЕН ОБ ЖПФП. xќ™4")[0] == "кнопка выглядит лучше, чем на фото. x²≥4"
+    for whole in ("пРИВЕТ, эТО оЧЕНЬ пЛОХОЙ тОВАР", "УЖАСНО! НЕ ПОКУПАЙТЕ, ГОСТ СССР ФСБ", "ЦЕ ДУЖЕ ПОГАНИЙ ТОВАР, Їжак і ґанок", "Љубав је лепа, ЏЕМПЕР И ЊЕГОШ", "Қазақша ӘЛЕМ жақсы", "│ да │ ├── нет └── Töne", "15 µm soft\xadhyphen и √2 ≈ 1,41", "НЕ РАБОТИ ДОБРЕ, ЪГЪЛ"):
+        assert repaired(whole) == (whole, [], False)
+
+
 def test_repaired_rows(spark):
     rows = [(1, "plain", 0), (2, "cafÃ©", 0), (3, None, 0), (4, "", 0), (5, "Gr�", 0), (6, "cafÃ© " * 50_000, 0)]
     out = repaired_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lost int"))
