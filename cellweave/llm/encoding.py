@@ -108,32 +108,87 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
 # UTF-8 read as a Japanese double-byte encoding: kana begin with the bytes that spell these three characters.
 _KANA_LEADS = re.compile("[縺繧繝]")
 _WIDE = re.compile("[^\x00-\x7f]+")
-_WIDE_BYTES = re.compile(_SPANS.pattern.encode("latin-1"))
+_KANJI = re.compile("[一-鿿]")
+_WIDE_SEQUENCE = re.compile(f"(?:{_SEQUENCE})".encode("latin-1"))
+
+
+def _wide_pieces(run: str) -> Iterator[tuple[str, bytes | None]]:
+    """The parts of a run with their bytes, None for those that the encoding doesn't hold."""
+    try:
+        yield run, run.encode("cp932")
+    except UnicodeEncodeError as e:
+        if e.start:
+            yield run[: e.start], run[: e.start].encode("cp932")
+        rest = run[e.start :]
+        while True:
+            n = next((i for i, c in enumerate(rest) if c.encode("cp932", "ignore")), len(rest))
+            if n:
+                yield rest[:n], None
+            rest = rest[n:]
+            try:
+                if rest:
+                    yield rest, rest.encode("cp932")
+                return
+            except UnicodeEncodeError as e:
+                yield rest[: e.start], rest[: e.start].encode("cp932")
+                rest = rest[e.start :]
+
+
+def _wide_sequences(piece: str, raw: bytes) -> list[tuple[int, int, str]]:
+    """The well-formed sequences of a part: where they lie and what they spell. Not those that spell no
+    character, nor any if they are a small part of it. The bytes of kana that stand as written look like sequences
+    of two, so these count only behind a longer one or from a half-width character on, of which one isn't enough."""
+    at, narrow = 0, set()
+    for c in piece:
+        narrow |= {at} if "｡" <= c <= "ﾟ" else set()
+        at += 1 if c <= "\x80" or "｡" <= c <= "ﾟ" else 2
+    found, long = [], 0
+    for s in _WIDE_SEQUENCE.finditer(raw):
+        char = s.group().decode("utf-8")
+        if unicodedata.category(char) in ("Cn", "Co", "Cs", "Cc"):
+            continue
+        if s.end() - s.start() == 2 and s.start() not in narrow and not (found and found[-1][1] == s.start()):
+            continue
+        long += s.end() - s.start() > 2
+        found.append((s.start(), s.end(), char))
+    covered = sum(end - start for start, end, _ in found)
+    return found if covered * 3 >= len(raw) * (1 if long else 2) and (long or len(found) > 1) else []
+
+
+def _is_wide(text: str) -> bool:
+    """Whether a text holds UTF-8 read as cp932: leads of kana, or sequences of common kanji or kana that make
+    up most of a part."""
+    if len(_KANA_LEADS.findall(text)) >= 2:
+        return True
+    n = 0
+    for m in _WIDE.finditer(text):
+        for piece, raw in _wide_pieces(m.group()):
+            found = _wide_sequences(piece, raw) if raw else []
+            if raw and sum(end - start for start, end, _ in found) * 3 >= 2 * len(raw) - 2:  # but for a cut end
+                # Kanji of the first level, kana and their signs have these leading bytes.
+                n += sum(end - start == 3 and b"\x81" <= char.encode("cp932", "ignore")[:1] < b"\x99" for start, end, char in found)
+    return n >= 2
 
 
 def _decode_wide(text: str) -> tuple[str, int]:
-    if len(_KANA_LEADS.findall(text)) < 2:
+    if not _KANJI.search(text) or not _is_wide(text):
         return text, 0
     covered = 0
 
     def one(m: re.Match) -> str:
         nonlocal covered
-        run = m.group()
-        if len(_KANA_LEADS.findall(run)) < 2:
-            return run
         parts = []
-        for piece in re.split("(�+)", run):
-            try:
-                raw = piece.encode("cp932")
-            except UnicodeEncodeError:
+        for piece, raw in _wide_pieces(m.group()):
+            found = _wide_sequences(piece, raw) if raw else []
+            if not found:
                 parts.append(piece)
                 continue
-            at, good = 0, []
-            for s in _WIDE_BYTES.finditer(raw):
-                good += [raw[at : s.start()].decode("cp932", "replace"), s.group().decode("utf-8", "replace")]
-                covered += s.end() - s.start()
-                at = s.end()
-            parts += [*good, raw[at:].decode("cp932", "replace")]
+            at = 0
+            for start, end, char in found:
+                parts += [raw[at:start].decode("cp932", "replace"), char]
+                covered += end - start
+                at = end
+            parts.append(raw[at:].decode("cp932", "replace"))
         return "".join(parts)
 
     return _WIDE.sub(one, text), covered

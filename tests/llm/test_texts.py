@@ -180,6 +180,20 @@ def test_little_misread_cyrillic():
         assert repaired(whole) == (whole, [], False)
 
 
+def test_wide_runs_and_kanji():
+    """Every run of a text that was misread is decoded, and kanji are evidence too."""
+    bad = "製造番号はPHOT87-79。店の返事は5日後でした。".encode().decode("cp932", "replace")
+    text, steps, lost = repaired(bad)
+    assert steps == ["cp932"] and lost and "番号はPHOT87-79" in text and text.startswith("製") and "店" in text and "返事" in text
+    assert repaired("番号".encode().decode("cp932")) == ("番号", ["cp932"], False)
+    assert repaired("Modell X5 番号 👍".encode().decode("cp932", "replace").split("�")[0])[0].startswith("Modell X5 番号")
+    assert "番号👍番号" in repaired("番号👍番号".replace("番号", "番号".encode().decode("cp932")))[0]
+    part = "Phobeltam-799は使い物になりません。"
+    assert repaired("とても使いやすい".encode().decode("cp932", "replace") + " " + part)[0].endswith(part)
+    for whole in ("縺れる糸、髙橋さんの綺麗な鞄。ﾅｲﾌとﾃﾞｻﾞｲﾝ", "製造番号は薔薇87", "憂鬱な顰蹙、麒麟の鬣", "質量輕巧,顏色鮮豔,纖維縫製"):
+        assert repaired(whole) == (whole, [], False)
+
+
 def test_repaired_rows(spark):
     rows = [(1, "plain", 0), (2, "cafÃ©", 0), (3, None, 0), (4, "", 0), (5, "Gr�", 0), (6, "cafÃ© " * 50_000, 0)]
     out = repaired_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lost int"))
