@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,9 +55,10 @@ def _legacy(encoding: str) -> tuple[_Bytes, re.Pattern]:
 
 _TABLES = {e: _legacy(e) for e in ENCODINGS}
 
-# Blocks of letters in use: Latin with Extended-A, combining marks, Greek, Cyrillic without its historic
-# part, Hebrew letters, Arabic, and all from Devanagari on. Two bytes of a legacy encoding easily spell
-# phonetic or historic letters, which reviews don't hold.
+# Blocks of letters in most use: Latin with Extended-A, combining marks, Greek, Cyrillic without its historic
+# part, Hebrew letters, Arabic, and all from Devanagari on. Two bytes of a legacy encoding easily spell another
+# letter by chance, so one such sequence by itself counts only if it spells one of these, or if other spans of
+# the text show its script.
 _COMMON = ((0xA0, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2C7), (0x2DA, 0x2DC), (0x300, 0x36F), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x60C, 0x655), (0x660, 0x66C), (0x67E, 0x6CC), (0x900, 0x10FFFF))
 
 
@@ -72,8 +73,37 @@ def _likely(char: str) -> bool:
 _BEYOND = "ЁёІіЇїЄєҐґЎў"
 
 
-def _accepted(text: str, start: int, end: int, decoded: str) -> bool:
-    if not all(map(_likely, decoded)):
+def _is_char(char: str) -> bool:
+    return 0x80 <= ord(char) < 0xA0 or unicodedata.category(char) not in ("Cn", "Co", "Cs", "Cc")
+
+
+def _script(char: str) -> str:
+    name = unicodedata.name(char, "")
+    return "ARABIC" if "ARABIC" in name else name.partition(" ")[0]
+
+
+def _coherent(decoded: str) -> bool:
+    """Whether a span is evidence enough for letters of any block: several characters, the letters and
+    digits of which are of one script, or a sequence of three bytes and more."""
+    if not all(map(_is_char, decoded)):
+        return False
+    if len(decoded) == 1:
+        return decoded > "\u07ff"
+    return len({_script(c) for c in decoded if c.isalnum()}) == 1
+
+
+def _shown(text: str, spans: list[tuple[re.Match, str]]) -> set[str]:
+    """The scripts that other spans show: by several letters or sequences of three bytes, or, for Latin, by two
+    small letters that stand behind others and aren't written with a punctuation mark."""
+    if all(_likely(c) for _, decoded in spans for c in decoded):
+        return set()
+    scripts = {_script(c) for _, decoded in spans if _coherent(decoded) for c in decoded if c.isalnum()}
+    within = sum(len(d) == 1 and d.islower() and _script(d) == "LATIN" and text[m.start() - 1 : m.start()].isascii() and text[m.start() - 1 : m.start()].islower() and unicodedata.category(text[m.start()])[0] != "P" for m, d in spans)
+    return scripts | ({"LATIN"} if within > 1 else set())
+
+
+def _accepted(text: str, start: int, end: int, decoded: str, shown: Set[str] = frozenset()) -> bool:
+    if not all(map(_likely, decoded)) and not _coherent(decoded) and not (len(decoded) == 1 and decoded.isalnum() and _script(decoded) in shown):
         return False
     if len(decoded) == 1:
         written = text[start:end]
@@ -96,9 +126,10 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
     if not hint.search(text):
         return text, 0
     out, at, covered = [], 0, 0
-    for m in _SPANS.finditer(text.translate(table)):
-        decoded = m.group().encode("latin-1").decode("utf-8")
-        if _accepted(text, m.start(), m.end(), decoded):
+    spans = [(m, m.group().encode("latin-1").decode("utf-8")) for m in _SPANS.finditer(text.translate(table))]
+    shown = _shown(text, spans)
+    for m, decoded in spans:
+        if _accepted(text, m.start(), m.end(), decoded, shown):
             out += [text[at : m.start()], decoded]
             at = m.end()
             covered += m.end() - m.start()

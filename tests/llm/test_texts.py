@@ -194,6 +194,20 @@ def test_wide_runs_and_kanji():
         assert repaired(whole) == (whole, [], False)
 
 
+@pytest.mark.parametrize("text", ["hương", "Đã nhận được hàng, rất tư", "Dəri çox yaxşı, əla", "Қазақша әлем", "Բարև ձեզ", "ہے یہ اچھا", "قیمت ۱۲۳", "ǎ nǐ hǎo", "ܫܠܡܐ", "߁ ߂ߏߞߏ"])
+@pytest.mark.parametrize("encoding", ["cp1252", "latin-1", "cp1251"])
+def test_letters_of_any_block(text, encoding):
+    bad = "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in text.encode())
+    got, steps, lost = repaired(bad)
+    assert got == text and steps and not lost
+
+
+@pytest.mark.parametrize("text", ["L’écran m’a déçu, l’été", "Le «été», une «école» «à» lui", "mais…être, et…être", "CAFÉ», THÉ»", "Цена 5 ЗЋ"])
+def test_chance_sequences_stay(text):
+    assert repaired(text) == (text, [], False)
+    assert repaired(text + " dÃ©Ã§u dÃ©Ã§u dÃ©Ã§u")[0] == text + " déçu déçu déçu"
+
+
 def test_repaired_rows(spark):
     rows = [(1, "plain", 0), (2, "cafÃ©", 0), (3, None, 0), (4, "", 0), (5, "Gr�", 0), (6, "cafÃ© " * 50_000, 0)]
     out = repaired_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lost int"))
