@@ -84,9 +84,10 @@ def packed_containers(items: DataFrame, item: str = "doc_id", tokens: str = "n_t
 
     A container holds at most ``capacity`` tokens, ``max_segments`` pieces and ``max_loss`` loss-bearing
     tokens (by default as many as tokens). ``loss`` names the column of loss-bearing tokens; without it all
-    tokens bear loss. Only an item over the capacity is split: into containers that it fills alone, and one
-    rest that is packed like an item. With a loss column, each piece bears its share of the item's loss
-    tokens, counted from the front.
+    tokens bear loss. Only an item over the capacity or with more than ``max_loss`` loss tokens is split: into
+    pieces that reach a limit alone, and one rest that is packed like an item. With a loss column, each piece
+    bears its share of the item's loss tokens, counted from the front; pieces of ``max_loss`` tokens are cut
+    while more loss tokens than that are left, and pieces of ``capacity`` tokens from there on.
 
     An item without tokens, or with a null number, takes no room: it has one row with n_tokens 0 and null
     container. Items must be unique; an empty input gives no row. Results don't depend on partitioning.
@@ -98,13 +99,20 @@ def packed_containers(items: DataFrame, item: str = "doc_id", tokens: str = "n_t
     limits = (capacity, max_segments, max_loss)
     borne = F.least(F.col(loss), F.col(tokens)) if loss else F.col(tokens)
     sized = items.select(F.col(item).alias("item"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"), F.coalesce(borne, F.lit(0)).cast("bigint").alias("l"))
-    step = F.lit(min(capacity, max_loss)).cast("bigint")  # a piece keeps both limits
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / step) - 1, F.lit(0)).cast("int")))).select(
+    size, most = F.lit(capacity).cast("bigint"), F.lit(max_loss).cast("bigint")
+    # Pieces at the front that loss tokens alone fill; the others are bound by the capacity.
+    front = F.greatest(F.ceil(F.col("l") / most) - 1, F.lit(0)).cast("bigint") if max_loss < capacity else F.lit(0).cast("bigint")
+    cut = sized.withColumn("front", front)
+    at_front, rest = F.col("piece") < F.col("front"), F.col("front") * most
+    last = F.col("front") + F.greatest(F.ceil((F.col("n") - rest) / size) - 1, F.lit(0))
+    spans = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), last.cast("int")))).withColumn("token_start", F.when(at_front, F.col("piece") * most).otherwise(rest + (F.col("piece") - F.col("front")) * size))
+    n_tokens = F.when(at_front, most).otherwise(F.least(size, F.col("n") - F.col("token_start")))
+    pieces = spans.select(
         "item",
         "piece",
-        (F.col("piece") * step).alias("token_start"),
-        F.least(step, F.col("n") - F.col("piece") * step).alias("n_tokens"),
-        F.greatest(F.lit(0), F.least(step, F.col("l") - F.col("piece") * step)).cast("bigint").alias("n_loss"),
+        "token_start",
+        n_tokens.alias("n_tokens"),
+        F.greatest(F.lit(0), F.least(n_tokens, F.col("l") - F.col("token_start"))).cast("bigint").alias("n_loss"),
     )
     known = materialize(pieces, "pieces")
     out = ["item", "piece", "token_start", "n_tokens", "container_id", "container_offset"]

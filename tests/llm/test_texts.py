@@ -106,6 +106,24 @@ def test_packing_limits(spark):
     assert packed_containers(items.limit(0)).count() == 0
 
 
+def test_packing_splits_only_what_does_not_fit(spark):
+    """An item within both limits stays whole; others are cut no more than the limits ask for."""
+    items = spark.createDataFrame([*((i, 10, 3) for i in range(100)), (200, 250, 4), (201, 30, 20), (202, 120, 9), (203, 100, 10), (204, 18, 18), (205, 0, 0)], "doc_id bigint, n_tokens bigint, l bigint")
+    rows = packed_containers(items, loss="l", capacity=100, max_loss=9).collect()
+    pieces, loss, used = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        pieces.setdefault(r.doc_id, []).append((r.token_start, r.n_tokens))
+    assert all(pieces[i] == [(0, 10)] for i in range(100))
+    assert pieces[200] == [(0, 100), (100, 100), (200, 50)] and pieces[201] == [(0, 9), (9, 9), (18, 12)]
+    assert pieces[202] == [(0, 100), (100, 20)] and pieces[203] == [(0, 9), (9, 91)] and pieces[204] == [(0, 9), (9, 9)] and pieces[205] == [(0, 0)]
+    borne = {r.doc_id: r.l for r in items.collect()}
+    for r in rows:
+        if r.container_id is not None:
+            used[r.container_id] = used.get(r.container_id, 0) + r.n_tokens
+            loss[r.container_id] = loss.get(r.container_id, 0) + max(0, min(r.n_tokens, borne[r.doc_id] - r.token_start))
+    assert max(used.values()) <= 100 and max(loss.values()) <= 9
+
+
 def test_pack_mixes_demands():
     """Items heavy in tokens go with items heavy in loss tokens."""
     tokens, loss = np.array([90] * 10 + [10] * 10), np.array([10] * 10 + [10] * 10)
