@@ -127,6 +127,8 @@ def _decode_spans(text: str, encoding: str) -> tuple[str, int]:
         return text, 0
     out, at, covered = [], 0, 0
     spans = [(m, m.group().encode("latin-1").decode("utf-8")) for m in _SPANS.finditer(text.translate(table))]
+    if not spans:
+        return text, 0
     shown = _shown(text, spans)
     for m, decoded in spans:
         if _accepted(text, m.start(), m.end(), decoded, shown):
