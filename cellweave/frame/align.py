@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.frame.core import SparseFrame
@@ -26,6 +26,12 @@ def _renamed(f: SparseFrame) -> tuple[DataFrame, list[str], SparseFrame]:
     return df, keys, f._with(df=df, refs=refs if f._layout == WIDE else range(len(f._labels)))
 
 
+def _equal(left: DataFrame, x: str, right: DataFrame, y: str) -> Column:
+    """Keys are equal where grouping puts them in one group: NaN equals NaN by itself, null by this."""
+    nullable = left.schema[x].nullable and right.schema[y].nullable
+    return F.col(x).eqNullSafe(F.col(y)) if nullable else F.col(x) == F.col(y)
+
+
 def joined(a: SparseFrame, b: SparseFrame, how: str, level: int | None) -> SparseFrame:
     if _same_rows(a, b) and level is None:
         if a._layout == WIDE or len(set(a._refs) | set(b._refs)) == len(a._refs) + len(b._refs):
@@ -37,7 +43,7 @@ def joined(a: SparseFrame, b: SparseFrame, how: str, level: int | None) -> Spars
     if level is None and len(l_keys) != len(r_keys):
         raise ValueError("indexes of different depth; give a level")
     on = [(l_keys[level], r_keys[0])] if level is not None else list(zip(l_keys, r_keys))
-    both = left.join(right, [F.col(x) == F.col(y) for x, y in on], {"outer": "full", "left": "left", "right": "right", "inner": "inner"}[how])
+    both = left.join(right, [_equal(left, x, right, y) for x, y in on], {"outer": "full", "left": "left", "right": "right", "inner": "inner"}[how])
     names = [n for n, _ in a._index]
     keys = [(n, fresh("i")) for n in names]
     paired = {x: y for x, y in on}
@@ -70,7 +76,7 @@ def added(a: SparseFrame, b: SparseFrame, how: str) -> SparseFrame:
     wide = n <= WIDE_LIMIT
     left, l_keys, a2 = _renamed(a._as_wide() if wide else a._as_map())
     right, r_keys, b2 = _renamed(b._as_wide() if wide else b._as_map())
-    both = left.join(right, [F.col(x) == F.col(y) for x, y in zip(l_keys, r_keys)], {"outer": "full"}.get(how, how))
+    both = left.join(right, [_equal(left, x, right, y) for x, y in zip(l_keys, r_keys)], {"outer": "full"}.get(how, how))
     keys = [(name, fresh("i")) for name, _ in a._index]
     index = [F.coalesce(F.col(x), F.col(y)).alias(p) for x, y, (_, p) in zip(l_keys, r_keys, keys)]
     unique = a._unique and b._unique

@@ -15,29 +15,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.frame.layout import CELLS, COL, LONG, MAP, VALUE, WIDE, WIDE_LIMIT, empty_map, fresh, long_rows, map_of, renumbered
-from cellweave.plans import with_position
+from cellweave.plans import first_positions, with_position
 
 HOW = ("inner", "outer", "left", "right")
-#: Labels up to which a reduction by column is one wide row; beyond, it is rows (column, value).
-REPORT_LIMIT = 2000
+#: Rows at the front that a task takes by itself instead of numbering all rows.
+TOP_ROWS = 100_000
+#: Failures on executors that the driver raises as ValueError.
+_REFUSED = ("unknown category", "archives have different columns")
 
 
 def _checked(action: Callable[[], Any]) -> Any:
-    """Run an action; a failed check of categories becomes a ValueError."""
+    """Run an action; a failed check of the data becomes a ValueError."""
     try:
         return action()
     except PySparkException as e:
-        if "unknown category" in str(e):
-            raise ValueError("unknown category: " + str(e).split("unknown category", 1)[1].split("\n")[0].strip(": ")) from None
+        for refused in _REFUSED:
+            if refused in str(e):
+                raise ValueError(f"{refused}: " + str(e).split(refused, 1)[1].split("\n")[0].strip(": ")) from None
         raise
 
 
 class SparseFrame:
     """Rows with index keys and columns with labels; a cell without a value is 0.
 
-    All operations are lazy except shape, nnz, repr, scalars, positions and the discovery of labels. Rows
-    have no order of their own: positions follow ``order_by``, or else the index. Null and NaN keys are
-    groups of their own in groupby_sum and never match in joins.
+    All operations are lazy except shape, nnz, repr, scalars, positions and the discovery of labels, which run
+    jobs. Rows have no order of their own: positions follow ``order_by``, or else the index. Keys are equal in
+    joins and sums where groupby_sum puts them in one group: null equals null, and NaN equals NaN.
     """
 
     def __init__(self, data: Any, index: Any = None, columns: Sequence | None = None, spark: SparkSession | None = None, order_by: Sequence[str] | None = None):
@@ -244,6 +247,7 @@ class SparseFrame:
 
     @property
     def npartitions(self) -> int:
+        """Partitions as they come out; a plan that shuffles is run up to its last shuffle to know them."""
         return self._df.rdd.getNumPartitions()
 
     def __len__(self) -> int:
@@ -384,11 +388,14 @@ class SparseFrame:
 
     # --- positions
 
-    def with_positions(self, name: str) -> SparseFrame:
-        """The frame with a hidden column of 0-based row positions."""
+    def with_positions(self, name: str, below: int | None = None) -> SparseFrame:
+        """The frame with a hidden column of 0-based row positions; with ``below`` at least the rows at smaller
+        positions, of which a number that a task can hold are found without numbering all."""
         rows = self._rows()
         if not rows._order:
             raise ValueError("positions need an index or order_by")
+        if below is not None and below <= TOP_ROWS:
+            return rows._with(df=first_positions(rows._df, rows._order, below, name), order=[name])
         return rows._with(df=with_position(rows._df, rows._order, name), order=[name])
 
     def _by_position(self, values: np.ndarray) -> tuple[SparseFrame, Column]:
@@ -512,36 +519,45 @@ class SparseFrame:
 
     groupby = groupby_sum
 
-    def reduced(self, op: str, axis: int | None = None) -> DataFrame:
+    def reduced(self, op: str, axis: int | None = None, shape: str = "wide") -> DataFrame:
         """sum, mean, std (of the population), max or min, zeros included: one row "value" of all cells
-        (axis None), one row of all labels (axis 0), or (index, value) of each row (axis 1)."""
+        (axis None), (index, value) of each row (axis 1), or the value of each label (axis 0): as one row with
+        a column a label (shape "wide"), or as rows (column, value) (shape "long"), which is the form to take
+        for thousands of labels, as a plan of as many columns is slow to make."""
         if op not in ("sum", "mean", "std", "max", "min"):
             raise ValueError(op)
         if axis not in (None, 0, 1):
             raise ValueError(f"no axis {axis}")
+        if shape not in ("wide", "long"):
+            raise ValueError(f"shape {shape!r}: expected 'wide' or 'long'")
         rows, k = self._rows(), len(self._labels)
         if axis == 1:
             names = [F.col(p).alias(n) for n, p in zip(rows.index_labels(), rows._keys)]
             v = F.map_values(renumbered(F.col(CELLS), rows._refs)) if rows._layout == MAP else F.array(*rows._values())
             total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-            square = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+            if op == "std":
+                base = rows._df.select(*names, v.alias("__v"), (total / k).alias("__m"))
+                apart = F.aggregate("__v", F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m")))
+                holes = (F.lit(k) - F.size("__v")) * F.col("__m") * F.col("__m")
+                return base.select(*rows.index_labels(), F.sqrt((apart + holes) / k).alias("value"))
             filled = F.when(F.size(v) < k, F.concat(v, F.array(F.lit(0.0)))).otherwise(v)
-            out = {"sum": total, "mean": total / k, "std": F.sqrt(F.greatest(square / k - (total / k) ** 2, F.lit(0.0))), "max": F.array_max(filled), "min": F.array_min(filled)}[op]
+            out = {"sum": total, "mean": total / k, "max": F.array_max(filled), "min": F.array_min(filled)}[op]
             return rows._df.select(*names, out.alias("value"))
         built = {"sum": F.sum, "mean": F.avg, "std": F.stddev_pop, "max": F.max, "min": F.min}[op]
-        if axis == 0 and rows._layout == WIDE:
+        if axis == 0 and rows._layout == WIDE and shape == "wide":
             return rows._df.agg(*(built(F.col(r)).alias(n) for r, n in zip(rows._refs, rows.wide_labels()))) if k else rows._df.agg(F.count(F.lit(1)))
         n = rows._df.agg(F.count(F.lit(1)).alias("__n"))
         cells = long_rows(rows._df, [], rows._layout, rows._refs, outer=False)
-        facts = [F.sum(VALUE).alias("s"), F.sum(F.col(VALUE) * F.col(VALUE)).alias("q"), F.max(VALUE).alias("hi"), F.min(VALUE).alias("lo"), F.count(F.lit(1)).alias("c")]
+        facts = [F.sum(VALUE).alias("s"), F.avg(VALUE).alias("m"), F.var_pop(VALUE).alias("v"), F.max(VALUE).alias("hi"), F.min(VALUE).alias("lo"), F.count(F.lit(1)).alias("c")]
 
         def final(size: Column) -> Column:
-            s, q, c = F.coalesce("s", F.lit(0.0)), F.coalesce("q", F.lit(0.0)), F.coalesce("c", F.lit(0))
-            hole = c < size
+            s, m, v, c = F.coalesce("s", F.lit(0.0)), F.coalesce("m", F.lit(0.0)), F.coalesce("v", F.lit(0.0)), F.coalesce("c", F.lit(0))
+            hole, share = c < size, c / size
             return {
                 "sum": s,
                 "mean": s / size,
-                "std": F.sqrt(F.greatest(q / size - (s / size) ** 2, F.lit(0.0))),
+                # Of c cells with mean m and variance v, and zeros.
+                "std": F.sqrt(share * v + share * (F.lit(1.0) - share) * m * m),
                 "max": F.when(hole, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("hi")),
                 "min": F.when(hole, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo")),
             }[op]
@@ -552,29 +568,29 @@ class SparseFrame:
 
         every = rows._df.sparkSession.range(k).select(F.col("id").cast("int").alias(COL))
         each = every.join(cells.groupBy(COL).agg(*facts), COL, "left").join(F.broadcast(n)).select(COL, final(F.col("__n")).alias("value"))
-        if k > REPORT_LIMIT:
+        if shape == "long":
             return labelled(each, self._labels, "column").select("column", "value")
         whole = each.agg(F.map_from_entries(F.collect_list(F.struct(COL, "value"))).alias("m"))
         return whole.select(*(F.col("m")[F.lit(i)].alias(c) for i, c in enumerate(rows.wide_labels())))
 
-    def _reduction(self, op: str, axis: int | None):
-        out = self.reduced(op, axis)
+    def _reduction(self, op: str, axis: int | None, shape: str):
+        out = self.reduced(op, axis, shape)
         return _checked(lambda: out.first()[0]) if axis is None else out
 
-    def sum(self, axis: int | None = None):
-        return self._reduction("sum", axis)
+    def sum(self, axis: int | None = None, shape: str = "wide"):
+        return self._reduction("sum", axis, shape)
 
-    def mean(self, axis: int | None = None):
-        return self._reduction("mean", axis)
+    def mean(self, axis: int | None = None, shape: str = "wide"):
+        return self._reduction("mean", axis, shape)
 
-    def std(self, axis: int | None = None):
-        return self._reduction("std", axis)
+    def std(self, axis: int | None = None, shape: str = "wide"):
+        return self._reduction("std", axis, shape)
 
-    def max(self, axis: int | None = None):
-        return self._reduction("max", axis)
+    def max(self, axis: int | None = None, shape: str = "wide"):
+        return self._reduction("max", axis, shape)
 
-    def min(self, axis: int | None = None):
-        return self._reduction("min", axis)
+    def min(self, axis: int | None = None, shape: str = "wide"):
+        return self._reduction("min", axis, shape)
 
     # --- alignment
 
@@ -607,14 +623,26 @@ class SparseFrame:
     # --- partitions
 
     def map_partitions(self, func: Callable[..., pd.DataFrame], meta: Any = None, **kwargs: Any) -> SparseFrame:
-        """func applied to pandas batches of the wide form; ``meta`` gives the labels of its result, by
-        default the same. Index columns and rows without cells stay; positions follow the index afterwards."""
+        """func applied to each partition as one pandas table of the wide form; ``meta`` gives the labels of its
+        result, by default the same. The result may have any number of rows; index columns come first in it.
+        A partition is held whole by its task; ``map_batches`` is for functions of single rows. Positions
+        follow the index afterwards."""
+        return self._mapped(func, meta, kwargs, whole=True)
+
+    def map_batches(self, func: Callable[..., pd.DataFrame], meta: Any = None, **kwargs: Any) -> SparseFrame:
+        """Like map_partitions, with a partition's rows in batches of bounded size, one after the other."""
+        return self._mapped(func, meta, kwargs, whole=False)
+
+    def _mapped(self, func: Callable[..., pd.DataFrame], meta: Any, kwargs: dict, whole: bool) -> SparseFrame:
         labels = self._labels if meta is None else tuple(meta.columns if hasattr(meta, "columns") else meta)
         wide, names = self.to_wide(), self.index_labels()
         cells = self._with(labels=labels, refs=labels).wide_labels()
         schema = T.StructType([*(wide.schema[n] for n in names), *(T.StructField(c, T.DoubleType()) for c in cells)])
 
         def run(batches):
+            if whole:
+                held = list(batches)
+                batches = [pd.concat(held, ignore_index=True)] if held else []
             for pdf in batches:
                 out = func(pdf, **kwargs)
                 out.columns = [*names, *cells]

@@ -115,7 +115,7 @@ class ILoc:
             return self._slice(key)
         places = [key] if isinstance(key, (int, np.integer)) else list(key)
         pos, rank, place = fresh("p"), fresh("o"), fresh("k")
-        numbered = f.with_positions(pos)
+        numbered = f.with_positions(pos, below=max(places, default=0) + 1 if all(p >= 0 for p in places) else None)
         if any(p < 0 for p in places):
             n = f.shape[0]
             places = [p + n if p < 0 else p for p in places]
@@ -125,7 +125,8 @@ class ILoc:
 
     def _slice(self, key: slice) -> SparseFrame:
         pos = fresh("p")
-        f = self.frame.with_positions(pos)
+        ahead = key.stop is not None and key.stop >= 0 and (key.start or 0) >= 0 and (key.step or 1) > 0
+        f = self.frame.with_positions(pos, below=key.stop if ahead else None)
         step = 1 if key.step is None else key.step
         if step == 0:
             raise ValueError("slice step cannot be zero")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.frame import SparseFrame, concat, event_matrix, one_hot, vstack
-from cellweave.plans import shared_dir
+from cellweave.plans import new_path
 from cellweave.sources import division_bounds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,9 +116,7 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/cellweave/{spark.sparkContext.applicationId}/frame-{uuid.uuid4().hex}"
+    path = new_path(spark, "frame")
     _by_user(spark, d).to_parquet(path)
     return SparseFrame.read_parquet(path, spark).to_wide()
 

@@ -41,7 +41,7 @@ def doubled_roots(linked: np.ndarray) -> np.ndarray:
         pointer = jumped
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+def table_chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -55,10 +55,13 @@ def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
+def single_array(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
+_chunks, _one = table_chunks, single_array
+
+
 def _cut(cutter: Cutter, least: int, chunk: int):
     """The function that turns a sorted partition into its stretches of at least ``least`` events, and the
     stretches at its edges whatever their length."""
@@ -71,14 +74,14 @@ def _cut(cutter: Cutter, least: int, chunk: int):
         def emit(rows: dict, key: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([key, *(pa.array(v) if not isinstance(v, pa.Array) else v for v in rows.values())], schema=out_schema)
 
-        for t in _chunks(batches, chunk):
+        for t in table_chunks(batches, chunk):
             has_label = "label" in t.schema.names
             kind = t.schema.field("t").type
             out_schema = pa.schema([("key", pa.string()), ("first_t", kind), ("first_id", pa.int64()), ("last_t", kind), ("last_id", pa.int64()), ("n", pa.int64()), ("label", pa.int32()), ("edge", pa.bool_())])
             carried = last is not None
             if carried:
                 t = pa.concat_tables([last, t]).combine_chunks()
-            key, when, ids = (_one(t.column(c)) for c in ("key", "t", "id"))
+            key, when, ids = (single_array(t.column(c)) for c in ("key", "t", "id"))
             if pa.types.is_large_string(key.type):
                 key = key.cast(pa.string())
             ts, ids_ = when.cast(pa.int64()).to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
@@ -86,7 +89,7 @@ def _cut(cutter: Cutter, least: int, chunk: int):
             same[1:] = pc.equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
             repeated = same.copy()
             repeated[1:] &= (ts[1:] == ts[:-1]) & (ids_[1:] == ids_[:-1])
-            label = _one(t.column("label")).to_numpy(zero_copy_only=False) if has_label else None
+            label = single_array(t.column("label")).to_numpy(zero_copy_only=False) if has_label else None
             if repeated.any():  # the first of equal rows stays, and its comparison with the row before it
                 keep = np.flatnonzero(~repeated)
                 key, ts, ids_, same = key.take(pa.array(keep)), ts[keep], ids_[keep], same[keep]
@@ -111,7 +114,7 @@ def _cut(cutter: Cutter, least: int, chunk: int):
                 yield emit({"first_t": pa.array(f_t[done]).cast(kind), "first_id": f_id[done], "last_t": pa.array(ts[end[done]]).cast(kind), "last_id": ids_[end[done]], "n": n[done].astype(np.int64), "label": lab[done].astype(np.int32), "edge": edge[done]}, key.take(pa.array(first[done])))
         if open_ is not None:
             o = open_
-            yield emit({"first_t": pa.array([o["first_t"]]).cast(kind), "first_id": [o["first_id"]], "last_t": pa.array([o["last_t"]]).cast(kind), "last_id": [o["last_id"]], "n": pa.array([o["n"]], pa.int64()), "label": pa.array([o["label"]], pa.int32()), "edge": [True]}, _one(last.column("key")).cast(pa.string()))
+            yield emit({"first_t": pa.array([o["first_t"]]).cast(kind), "first_id": [o["first_id"]], "last_t": pa.array([o["last_t"]]).cast(kind), "last_id": [o["last_id"]], "n": pa.array([o["n"]], pa.int64()), "label": pa.array([o["label"]], pa.int32()), "edge": [True]}, single_array(last.column("key")).cast(pa.string()))
 
     return run
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.plans import input_splits
+
 #: Partial states of a key that one task merges in a round.
 FAN_IN = 8
 
@@ -33,7 +35,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Mapping[str, tupl
     names = [f"__s{i}" for i in range(len(states))]
     rows = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c.alias(n) for n, (_, c) in zip(names, states.values())))
     by = [f"__k{i}" for i in range(len(keys))]
-    chunks = max(1, rows.rdd.getNumPartitions())
+    chunks = max(1, input_splits(rows))
     rows = rows.withColumn("__chunk", F.spark_partition_id())
     first = True
     while True:

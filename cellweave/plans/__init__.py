@@ -1,8 +1,8 @@
-"""Plan helpers: materialised intermediates, global positions, size checks."""
+"""Plan helpers: materialised intermediates, global positions, size checks, splits."""
 
-from cellweave.plans.materialize import materialize, shared_dir
-from cellweave.plans.position import with_position
+from cellweave.plans.materialize import materialize, new_path, release, shared_dir
+from cellweave.plans.position import first_positions, with_position
 from cellweave.plans.sizes import estimated_bytes, small_broadcast
-from cellweave.plans.spread import spread
+from cellweave.plans.spread import input_splits, spread
 
-__all__ = ["estimated_bytes", "materialize", "shared_dir", "small_broadcast", "spread", "with_position"]
+__all__ = ["estimated_bytes", "first_positions", "input_splits", "materialize", "new_path", "release", "shared_dir", "small_broadcast", "spread", "with_position"]

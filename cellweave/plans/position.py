@@ -4,45 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellweave.plans.materialize import materialize
 
+#: Binary digits of monotonically_increasing_id that number the rows of a partition; the others name it.
+_ROW_BITS = 33
 
-def _numbered(name: str):
-    def number(batches):
-        from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            local = pa.array(range(at, at + b.num_rows), pa.int64())
-            own = pa.array([part] * b.num_rows, pa.int32())
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, own, local], names=[*b.schema.names, "__part", name])
-
-    return number
+def _columns(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "_pos") -> DataFrame:
-    """Append ``name``: the 0-based position of each row in the given order.
+    """Append ``name``: the 0-based position of each row in the given order. Runs a job.
 
     Rows are range-partitioned on the order, sorted and numbered within each partition, and the
     partitions' row counts, one row each, give the offsets. The numbered table is written once, so that
     counts and rows come from the same partitioning. Ties in the order are numbered in any order; give a
     unique order for a repeatable result.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = _columns(order)
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField(name, T.LongType())])
-    local = materialize(ranged.mapInArrow(_numbered(name), schema), "position")
-    counts = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    local = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), "position")
+    part, row = F.shiftright("__id", _ROW_BITS).cast("int"), F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    counts = local.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (
-        local.join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col(name) + F.col("__off"))
-        .drop("__part", "__off")
-    )
+    return local.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, row + F.col("__off")).drop("__part", "__off", "__id")
+
+
+def first_positions(df: DataFrame, order: Sequence[str | Column], n: int, name: str = "_pos") -> DataFrame:
+    """The first n rows in the given order with their positions, as with_position gives them. Each partition
+    keeps its own first n rows, of which one task takes the first; meant for an n that a task can hold."""
+    keys = _columns(order)
+    return df.orderBy(*keys).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1)

@@ -192,7 +192,7 @@ def test_date_filter_reaches_the_scan(spark):
 
 def test_set_index(spark, eye):
     f = eye(5, index=list("ABCDE"), columns=list("VWXYZ"))
-    assert f.set_index(column="V").todense().index.tolist() == [1, 0, 0, 0, 0] or set(f.set_index(column="V").todense().index) == {0.0, 1.0}
+    assert sorted(f.set_index(column="V").todense().index) == [0, 0, 0, 0, 1]
     assert f.set_index(idx=[9, 8, 7, 6, 5]).todense().sort_index().index.tolist() == [5, 6, 7, 8, 9]
     g = f.copy()
     assert g.set_index(idx=[5, 6, 7, 8, 9], inplace=True) is None and 5 in g.todense().index
@@ -258,6 +258,46 @@ def test_reductions(spark, k):
         f.sum(axis=3)
 
 
+@pytest.mark.parametrize("k", [1, 65])
+def test_std_keeps_digits(spark, k):
+    """Of large numbers that lie close together, in every layout and direction."""
+    x = np.zeros((4, k))
+    x[:, 0] = 1e9 + np.arange(1, 5)
+    f = SparseFrame(x, index=range(4), spark=spark)
+    assert f._layout == (WIDE if k == 1 else MAP)
+    assert f.std(axis=0).first()[0] == pytest.approx(np.std([1, 2, 3, 4]), rel=1e-6)
+    assert f.std(axis=0, shape="long").filter("column = 0").first()[1] == pytest.approx(np.std([1, 2, 3, 4]), rel=1e-6)
+    assert f.std() == pytest.approx(x.std(), rel=1e-9)
+    flat = SparseFrame(1e9 + np.tile(np.arange(1.0, 5), (2, 20)), index=[0, 1], spark=spark)
+    assert [r[1] for r in flat.std(axis=1).collect()] == pytest.approx([np.std([1, 2, 3, 4])] * 2, rel=1e-6)
+
+
+@pytest.mark.parametrize("k", [2, 3000])
+def test_shape_of_reductions_is_asked_for(spark, k):
+    f = SparseFrame(np.ones((2, k)), spark=spark)
+    assert f.sum(axis=0, shape="long").columns == ["column", "value"] and f.sum(axis=0, shape="long").count() == k
+    if k == 2:
+        assert f.sum(axis=0).columns == ["0", "1"]
+    else:
+        assert len(f.reduced("sum", 0).columns) == k
+    with pytest.raises(ValueError):
+        f.sum(axis=0, shape="tall")
+
+
+@pytest.mark.parametrize("k", [1, 100])
+def test_missing_keys_match_as_they_group(spark, k):
+    """Null with null and NaN with NaN, in joins and in sums, whichever way these take."""
+    df = spark.createDataFrame([(None, 1.0), (float("nan"), 2.0), (1.0, 4.0)], "k double, v double")
+    made = df.select("k", *(F.col("v").alias(f"v{i}") for i in range(k)))
+    f = SparseFrame(made, "k")
+    grouped = f.groupby_sum()
+    assert f.join(grouped.rename(lambda c: "w" + c)).shape == (3, 2 * k)
+    for total in (f.add(f), grouped.add(grouped), f.add(grouped), grouped.add(grouped, how="inner")):
+        assert total.shape == (3, k) and sorted(dense(total)[:, 0]) == [2, 4, 8]
+    two = SparseFrame(spark.createDataFrame([("a", None, 1.0), (None, None, 2.0)], "x string, y int, v double"), ["x", "y"])
+    assert two.add(two).shape == (2, 1)
+
+
 def week(n=49):
     dates = pd.date_range("2017-01-01", periods=n)
     return pd.DataFrame({"date": dates, "weekday": dates.day_name(), "id": np.tile(np.arange(7), n // 7)})
@@ -352,6 +392,23 @@ def test_npz(spark, eye, tmp_path):
         SparseFrame.read_npz(f"{tmp_path}/9*.npz", spark, sorted=True)
     with pytest.raises(FileNotFoundError):
         SparseFrame.read_npz(f"{tmp_path}/none*.npz", spark)
+    few = SparseFrame(np.diag([1.0, 0, 2]), index=["a", "b", "c"], columns=list("xyz"), spark=spark)
+    few.to_npz(str(tmp_path / "s1.npz"))
+    assert SparseFrame.read_npz(f"file://{tmp_path}/s1.npz", spark).todense().to_dict() == few.todense().to_dict()
+    few[["x", "z", "y"]].to_npz(str(tmp_path / "s2.npz"))  # the same labels in another order
+    with pytest.raises(ValueError):
+        SparseFrame.read_npz(f"{tmp_path}/s*.npz", spark).todense()
+    with pytest.raises(ValueError):
+        SparseFrame(pd.DataFrame({"v": [1]}, index=pd.MultiIndex.from_tuples([("a", 1)])), spark=spark).to_npz(str(tmp_path / "m.npz"))
+
+
+def test_npz_is_written_sparse(spark, tmp_path):
+    """A frame whose dense form would take 32 GB."""
+    rows = spark.range(100_000).select("id", (F.col("id") % 40_000).alias("c"), F.lit(1.0).alias("v"))
+    SparseFrame.from_long(rows, "id", "c", "v", range(40_000)).to_npz(str(tmp_path / "big.npz"))
+    with np.load(tmp_path / "big.npz") as z:
+        assert z["shape"].tolist() == [100_000, 40_000] and len(z["data"]) == 100_000 and z["indptr"][-1] == 100_000
+        assert (z["frame_index"] % 40_000 == z["indices"]).all()
 
 
 def test_from_pandas_and_map_partitions(spark):
@@ -364,6 +421,15 @@ def test_from_pandas_and_map_partitions(spark):
     assert g.columns == ("only",) and g.shape == (10, 1)
 
 
+def test_map_partitions_sees_whole_partitions(spark):
+    rows = spark.range(25_000, numPartitions=1).select("id", F.lit(1.0).alias("v"))
+    size = lambda pdf: pdf.assign(v=len(pdf))
+    f = SparseFrame(rows, "id")
+    assert {r[0] for r in f.map_partitions(size).to_wide().select("v").distinct().collect()} == {25_000.0}
+    assert max(r[0] for r in f.map_batches(size).to_wide().select("v").distinct().collect()) < 25_000
+    assert SparseFrame(rows.limit(0), "id").map_partitions(size).shape == (0, 1)
+
+
 def test_streaming_sums(spark, tmp_path):
     from cellweave.streaming import windowed_one_hot_sums
 

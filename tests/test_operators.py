@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,8 +16,9 @@ from cellweave.operators.features import entity_features
 from cellweave.operators.sessions import _linked_within, sessions
 from cellweave.operators.stretches import doubled_roots, stretches
 from cellweave.operators.tree import tree_aggregate
-from cellweave.plans import materialize, with_position
+from cellweave.plans import first_positions, input_splits, materialize, release, with_position
 
+ROOT = Path(__file__).resolve().parent.parent
 EVENTS = "r_idx bigint, uuids string, timestamps timestamp_ntz, c_idx int, arrived_at timestamp_ntz"
 T0 = dt.datetime(2016, 1, 4)
 
@@ -131,6 +133,17 @@ def test_features_match_brute_force(spark):
         assert r.seconds_since_last == ((end - r.last_at).total_seconds() if events else None)
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 200])
+def test_features_of_many_types(spark, n):
+    """Types whose bits fill a word, or several."""
+    types = [3 * i for i in range(n)]
+    rows = [(1000 * i + j, "a", at(i), t, None) for i, t in enumerate(types) for j in range(i % 5)]
+    df = spark.createDataFrame(rows, EVENTS) if rows else spark.createDataFrame([], EVENTS)
+    r = entity_features(df, spark.createDataFrame([("a",)], "uuids string"), types, recency_per_type=True, salts=3).first()
+    assert [r[f"c_{t}"] for t in types] == [i % 5 for i in range(n)] and r.n_events == len(rows)
+    assert [r[f"s_{t}"] is None for t in types] == [i % 5 == 0 for i in range(n)]
+
+
 def test_features_layouts_and_empty(spark):
     df, trails = spark.createDataFrame(made(200), EVENTS), spark.createDataFrame([("hot",), ("hot",)], "uuids string")
     wide = entity_features(df, trails, [0, 1], recency_per_type=True)
@@ -142,6 +155,9 @@ def test_features_layouts_and_empty(spark):
     assert entity_features(df, trails, [0, 1], as_of=F.lit(at(0)).cast("timestamp_ntz"), recency_per_type=True).first().s_1 == (T0 - last).total_seconds()
     m = entity_features(df, trails, [0, 1], layout="map").first()
     assert m.totals == {k: v for k, v in ((0, wide.first().c_0), (1, wide.first().c_1)) if v}
+    long = entity_features(df, trails, [0, 1, 77], layout="long").collect()
+    assert len(long) == 6 and {(r.c_idx, r.n) for r in long} == {(0, wide.first().c_0), (1, wide.first().c_1), (77, 0)}
+    assert {r.last_at for r in long if r.c_idx == 1} == {last} and {r.last_at for r in long if r.c_idx == 77} == {None}
     none = entity_features(spark.createDataFrame([], EVENTS), trails, [0]).first()
     assert (none.n_events, none.c_0, none.last_at) == (0, 0, None)
     assert entity_features(df, spark.createDataFrame([], "uuids string"), [0]).count() == 0
@@ -180,6 +196,51 @@ def test_positions_are_contiguous(spark):
     assert with_position(spark.createDataFrame([], "x int"), ["x"]).count() == 0
 
 
+def test_first_positions_are_the_positions(spark):
+    df = spark.range(1000).select((999 - F.col("id")).alias("x")).repartition(7)
+    assert sorted(map(tuple, first_positions(df, ["x"], 30).collect())) == [(i, i) for i in range(30)]
+    assert first_positions(df, ["x"], 5000).count() == 1000 and first_positions(df, ["x"], 0).count() == 0
+
+
+def test_positions_need_no_python(spark):
+    plan = with_position(spark.range(10), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_splits_are_known_without_a_job(spark):
+    done = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = done()
+    assert input_splits(spark.range(10, numPartitions=5)) == 5
+    assert input_splits(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()) == 8
+    assert done() == before
+
+
+def test_intermediates_are_deleted(spark, tmp_path):
+    """By release at once, and all others with the session, though the interpreter goes on."""
+    import subprocess
+    import sys
+
+    df = materialize(spark.range(3))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert os.path.exists(path)
+    release(df, spark.range(1))
+    assert not os.path.exists(path)
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from cellweave.plans import materialize
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+materialize(s.range(5)).count()
+assert any(f.endswith(".parquet") for _, _, fs in os.walk({str(tmp_path)!r}) for f in fs)
+s.stop()
+assert not any(f.endswith(".parquet") for _, _, fs in os.walk({str(tmp_path)!r}) for f in fs)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+
+
 def test_materialize_keeps_types(spark):
     df = spark.createDataFrame([(1, None, {1: 2.0})], T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("c", T.MapType(T.IntegerType(), T.DoubleType()))]))
     assert materialize(df).schema == df.schema and materialize(df).collect() == df.collect()
