@@ -58,15 +58,15 @@ def _added(how: str) -> Query:
 
 
 def _by_label(op: str, digits: int) -> Query:
-    return lambda s, d: _bulk(s, d).reduced(op, 0, shape="long").select("column", F.round("value", digits).alias("value"))
+    return lambda s, d: _bulk(s, d).reduced(op, 0, shape="long").select("column", (F.round("value", digits) + 0.0).alias("value"))
 
 
 def _by_row(op: str, digits: int) -> Query:
-    return lambda s, d: _bulk(s, d).reduced(op, 1).select("l_suppkey", F.round("value", digits).alias("value"))
+    return lambda s, d: _bulk(s, d).reduced(op, 1).select("l_suppkey", (F.round("value", digits) + 0.0).alias("value"))
 
 
 def _of_all(op: str, digits: int) -> Query:
-    return lambda s, d: _bulk(s, d).reduced(op).select(F.round("value", digits).alias("total"))
+    return lambda s, d: _bulk(s, d).reduced(op).select((F.round("value", digits) + 0.0).alias("total"))
 
 
 def _missing_keys(spark: SparkSession, d: str, status: str, name: str) -> SparseFrame:
@@ -275,8 +275,8 @@ ORACLE: dict[str, str] = {
     "map_add_inner": _total(_INNER),
     "map_add_left": _total(_LEFT),
     "map_concat": f"{_SUMS.format('A')} UNION ALL SELECT l_suppkey, col + {APART}, value FROM ({_SUMS.format('R')}) x UNION ALL SELECT l_suppkey, col + 2 * {APART}, value FROM ({_SUMS.format('N')}) y",
-    **{f"map_{op}_cols": f'WITH {_BULK} SELECT col AS "column", ROUND({call}, 2) AS value FROM cells GROUP BY col' for op, call in _CALLS.items()},
-    **{f"map_{op}_rows": f"WITH {_BULK} SELECT l_suppkey, ROUND({call}, 2) AS value FROM cells GROUP BY l_suppkey" for op, call in _CALLS.items()},
+    **{f"map_{op}_cols": f'WITH {_BULK} SELECT col AS "column", ROUND({call}, 2) + 0.0e0 AS value FROM cells GROUP BY col' for op, call in _CALLS.items()},
+    **{f"map_{op}_rows": f"WITH {_BULK} SELECT l_suppkey, ROUND({call}, 2) + 0.0e0 AS value FROM cells GROUP BY l_suppkey" for op, call in _CALLS.items()},
     "map_sum_all": f"WITH {_BULK} SELECT ROUND(SUM(q), 2) AS total FROM cells",
     "map_std_all": f"WITH {_BULK} SELECT ROUND(STDDEV_POP(q), 1) AS total FROM cells",
     "std_all": "SELECT ROUND(STDDEV_POP(o_orderkey % 7), 6) AS total FROM orders",
