@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.frame.layout import CELLS, COL, LONG, MAP, VALUE, WIDE, WIDE_LIMIT, empty_map, fresh, long_rows, map_of, renumbered
-from cellweave.plans import first_positions, with_position
+from cellweave.plans import first_positions, local_column, with_position
 
 HOW = ("inner", "outer", "left", "right")
 #: Rows at the front that a task takes by itself instead of numbering all rows.
@@ -406,7 +406,7 @@ class SparseFrame:
         if len(values) != n:
             raise ValueError(f"{len(values)} values for {n} rows")
         column = pa.array(values.astype("datetime64[us]") if values.dtype.kind == "M" else values)
-        local = self._df.sparkSession.createDataFrame(pa.table({pos: pa.array(np.arange(n)), val: column}))
+        local = local_column(self._df.sparkSession, column, pos, val)
         return numbered._with(df=numbered._df.join(local, pos)), F.col(val)
 
     @property

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +110,8 @@ def _rounded(op: str, digits: int | None = None) -> Query:
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     frame = _by_user(spark, d)
-    ids = [r[0] for r in _table(spark, d, "events").select("event_id").orderBy("event_id").collect()]  # the array is the operand
-    return frame.assign(eid=np.array(ids, float)).to_wide()
+    ids = _table(spark, d, "events").orderBy("event_id").select(F.col("event_id").cast("double"))
+    return frame.assign(eid=ids.toArrow().column(0).to_numpy()).to_wide()  # the array is the operand
 
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:

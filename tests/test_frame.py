@@ -215,6 +215,36 @@ def test_assign(spark, eye):
     assert eye(70).assign(new=3).todense()["new"].tolist() == [3] * 70
 
 
+def test_local_arrays_are_sent_by_parts(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from cellweave.frame_workloads import QUERIES
+    from cellweave.plans import local
+
+    def refuse(*_):
+        raise AssertionError("a row object for each value")
+
+    assert QUERIES["assign_array"](spark, "/root/testdata/sf0.001").where("eid >= 0").count() == 1000
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", refuse)
+        QUERIES["assign_array"](spark, "/root/testdata/sf0.001")
+    sent, create = [], spark.createDataFrame
+    monkeypatch.setattr(local, "SENT_BYTES", 8_000)
+    monkeypatch.setattr(local, "_CHUNK", 300)
+    f = SparseFrame.from_wide(spark.range(5_000).withColumn("x", F.lit(1.0)), "id")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: sent.append(data.nbytes) or create(data, *a, **k))
+    values = np.random.default_rng(0).random(5_000)
+    times = np.datetime64("2024-01-01T00:00:00") + np.arange(5_000)
+    assigned, timed, named = f.assign(v=values), f.set_index(idx=times), f.set_index(idx=[f"k{i}" for i in range(5_000)])
+    assert max(sent) < 10_000 and len(sent) > 10
+    monkeypatch.undo()
+    assert np.array_equal(assigned.todense()["v"].to_numpy(), values)
+    assert (timed.sort_index().todense().index.to_numpy() == times).all()
+    assert sorted(named.todense().index) == sorted(f"k{i}" for i in range(5_000))
+    with pytest.raises(ValueError):
+        f.assign(v=values[:-1])
+
+
 def test_columns(eye):
     f = eye(10, columns=list("abcdefghij"))
     assert np.array_equal(dense(f[["j", "a"]]), np.identity(10)[:, [9, 0]]) and f["b"].shape == (10, 1) and f[("c", "d")].columns == ("c", "d")
