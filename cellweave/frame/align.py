@@ -35,7 +35,7 @@ def _equal(left: DataFrame, x: str, right: DataFrame, y: str) -> Column:
 def joined(a: SparseFrame, b: SparseFrame, how: str, level: int | None) -> SparseFrame:
     if _same_rows(a, b) and level is None:
         if a._layout == WIDE or len(set(a._refs) | set(b._refs)) == len(a._refs) + len(b._refs):
-            return a._with(labels=a._labels + b._labels, refs=a._refs + b._refs)
+            return a._with(labels=a._labels + b._labels, refs=(*a._refs, *b._refs))
         cells = renumbered(F.col(CELLS), [*a._refs, *b._refs])
         return a._with(df=a._df.withColumn(CELLS, cells), labels=a._labels + b._labels, refs=range(len(a._labels) + len(b._labels)))
     left, l_keys, a2 = _renamed(a)

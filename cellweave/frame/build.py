@@ -2,45 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.frame.core import SparseFrame
+from cellweave.frame.labels import Labels
 from cellweave.frame.layout import CELLS, COL, MAP, WIDE, WIDE_LIMIT, empty_map, fresh
+from cellweave.plans import local_column
 from cellweave.plans.sizes import BROADCAST_BYTES
 
 
-def label_table(spark: SparkSession, labels: Sequence, kind: str, name: str, col: str = COL) -> DataFrame:
+def label_table(spark: SparkSession, labels: Iterable, kind: str, name: str, col: str = COL) -> DataFrame:
     """(name, col): labels and their places; broadcast if their checked size allows it."""
-    local = pa.table({name: pa.array(list(labels)) if len(labels) else pa.array([], pa.string()), col: pa.array(np.arange(len(labels), dtype=np.int32))})
-    table = spark.createDataFrame(local).select(F.col(f"`{name}`").cast(kind).alias(name), col)
+    labels = Labels(labels)
+    table = local_column(spark, labels.arrow(), "__at", "__each").select(F.col("__each").cast(kind).alias(name), F.col("__at").cast("int").alias(col))
     size = sum(len(str(x)) + 32 for x in labels)
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def labelled(rows: DataFrame, labels: Sequence, name: str) -> DataFrame:
     """Rows with a column of their places' labels. Integer labels stay integers, others become strings."""
-    whole = all(isinstance(x, (int, np.integer)) and not isinstance(x, bool) for x in labels)
-    table = label_table(rows.sparkSession, [int(x) if whole else str(x) for x in labels], "bigint" if whole else "string", name)
+    labels = Labels(labels)
+    whole = labels.whole
+    table = label_table(rows.sparkSession, (int(x) if whole else str(x) for x in labels), "bigint" if whole else "string", name)
     return rows.join(table, COL)
 
 
-def column_ids(df: DataFrame, col: str, columns: Sequence | None) -> tuple[tuple, DataFrame]:
+def column_ids(df: DataFrame, col: str, columns: Sequence | None) -> tuple[Labels, DataFrame]:
     """The labels, and df with the place of each row's label in COL; null for a null label. Labels that
     aren't given are collected in ascending order: the frame's column list lives on the driver."""
     kind = df.schema[col].dataType
     if columns is None:
         columns = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).orderBy(col).collect()]
+    columns = Labels(columns)
     table = label_table(df.sparkSession, columns, kind.simpleString(), "__label")
     coded = df.join(table, F.col(col) == F.col("__label"), "left").filter(_known(F.col(col).isNull() | F.col("__label").isNotNull(), col))
-    return tuple(columns), coded
+    return columns, coded
 
 
 def _known(condition: Column, col: str) -> Column:

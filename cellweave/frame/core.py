@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.frame.labels import Labels, in_order
 from cellweave.frame.layout import CELLS, COL, LONG, MAP, VALUE, WIDE, WIDE_LIMIT, empty_map, fresh, long_rows, map_of, renumbered
 from cellweave.plans import first_positions, local_column, with_position
 
@@ -58,7 +59,7 @@ class SparseFrame:
     def _made(cls, df: DataFrame, index: Sequence[tuple[Any, str]], order: Sequence[str], labels: Sequence, refs: Sequence, layout: str, unique: bool = False, must_exist: Any = None) -> SparseFrame:
         f = cls.__new__(cls)
         f._raw, f._index, f._order, f._layout = df, list(index), list(order), layout
-        f._known = None if labels is None else (tuple(labels), tuple(refs))
+        f._known = None if labels is None else (Labels(labels), refs if isinstance(refs, range) else tuple(refs))
         f._unique, f._must_exist, f._shape, f._nnz = unique, must_exist, None, None
         return f
 
@@ -70,7 +71,7 @@ class SparseFrame:
 
         if self._known is None:
             labels, coded = column_ids(self._raw.withColumnRenamed(COL, "__raw"), "__raw", None)
-            self._raw, self._known = coded.select(*self._kept, COL, VALUE), (labels, tuple(range(len(labels))))
+            self._raw, self._known = coded.select(*self._kept, COL, VALUE), (labels, range(len(labels)))
 
     @property
     def _df(self) -> DataFrame:
@@ -78,12 +79,12 @@ class SparseFrame:
         return self._raw
 
     @property
-    def _labels(self) -> tuple:
+    def _labels(self) -> Labels:
         self._resolve()
         return self._known[0]
 
     @property
-    def _refs(self) -> tuple:
+    def _refs(self) -> tuple | range:
         self._resolve()
         return self._known[1]
 
@@ -139,7 +140,7 @@ class SparseFrame:
             pair = F.when(F.col(COL).isNotNull() & (F.col(VALUE) != 0), F.struct(F.col(COL).alias("key"), F.col(VALUE).alias("value")))
             cells = F.map_from_entries(F.collect_list(pair)).alias(CELLS)
             return self._with(df=summed.groupBy(*self._keys).agg(cells), order=self._keys, refs=range(n), layout=MAP)
-        if self._layout == MAP and list(self._refs) == list(range(n)):
+        if self._layout == MAP and in_order(self._refs):
             return self
         cells = map_of(self._refs) if self._layout == WIDE else renumbered(F.col(CELLS), self._refs)
         return self._with(df=self._df.select(*self._kept, cells.alias(CELLS)), refs=range(n), layout=MAP)
@@ -204,7 +205,7 @@ class SparseFrame:
 
     @property
     def columns(self) -> tuple:
-        return self._labels
+        return tuple(self._labels)
 
     @property
     def index(self) -> Column:
@@ -260,7 +261,7 @@ class SparseFrame:
     def _get_axis(self, axis: int):
         if axis not in (0, 1):
             raise ValueError(f"no axis {axis}")
-        return self.index if axis == 0 else self._labels
+        return self.index if axis == 0 else self.columns
 
     def __repr__(self) -> str:
         shown = list(range(len(self._labels)))
@@ -352,7 +353,7 @@ class SparseFrame:
         return self.iloc[list(idx)]
 
     def rename(self, columns: Callable[[Any], Any], inplace: bool = False) -> SparseFrame | None:
-        labels = tuple(columns(c) for c in self._labels)
+        labels = Labels(columns(c) for c in self._labels)
         if inplace:
             self._known = (labels, self._refs)
             return None
@@ -380,11 +381,11 @@ class SparseFrame:
         named = rows._named().withColumn(name, F.coalesce(value.cast("double"), F.lit(0.0)))
         if rows._layout == WIDE and len(rows._labels) < WIDE_LIMIT:
             base = named.select(*rows._kept, *dict.fromkeys(rows._refs), name)
-            return rows._with(df=base, labels=(*rows._labels, label), refs=(*rows._refs, name))
+            return rows._with(df=base, labels=rows._labels + [label], refs=(*rows._refs, name))
         k = len(rows._labels)
         cells = map_of(rows._refs) if rows._layout == WIDE else renumbered(F.col(CELLS), rows._refs)
         own = F.map_filter(F.create_map(F.lit(k), F.col(name)), lambda _, v: v != 0)
-        return rows._with(df=named.select(*rows._kept, F.map_concat(cells, own).alias(CELLS)), labels=(*rows._labels, label), refs=range(k + 1), layout=MAP)
+        return rows._with(df=named.select(*rows._kept, F.map_concat(cells, own).alias(CELLS)), labels=rows._labels + [label], refs=range(k + 1), layout=MAP)
 
     # --- positions
 
@@ -634,7 +635,7 @@ class SparseFrame:
         return self._mapped(func, meta, kwargs, whole=False)
 
     def _mapped(self, func: Callable[..., pd.DataFrame], meta: Any, kwargs: dict, whole: bool) -> SparseFrame:
-        labels = self._labels if meta is None else tuple(meta.columns if hasattr(meta, "columns") else meta)
+        labels = self.columns if meta is None else tuple(meta.columns if hasattr(meta, "columns") else meta)
         wide, names = self.to_wide(), self.index_labels()
         cells = self._with(labels=labels, refs=labels).wide_labels()
         schema = T.StructType([*(wide.schema[n] for n in names), *(T.StructField(c, T.DoubleType()) for c in cells)])

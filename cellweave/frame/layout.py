@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.frame.labels import in_order
+
 WIDE, MAP, LONG = "wide", "map", "long"
 #: Labels up to which cells are columns. Sums of many columns cost more than long rows.
 WIDE_LIMIT = 64
@@ -41,7 +43,7 @@ def map_of(columns: Sequence[str]) -> Column:
 
 def renumbered(cells: Column, refs: Sequence[int]) -> Column:
     """A map with the cells of refs, keyed by place in refs. A key may be referred to more than once."""
-    if list(refs) == list(range(len(refs))):
+    if in_order(refs):
         return F.map_filter(cells, lambda k, v: k < F.lit(len(refs)))
     if len(set(refs)) == len(refs):
         place = F.create_map(*[x for i, r in enumerate(refs) for x in (F.lit(r), F.lit(i))])
@@ -60,7 +62,7 @@ def long_rows(df: DataFrame, keep: Sequence[str], layout: str, refs: Sequence, o
         cells = renumbered(F.col(CELLS), refs)
         return df.select(*keep, (F.explode_outer if outer else F.explode)(cells).alias(COL, VALUE))
     rows = df
-    if list(refs) != list(range(len(refs))):
+    if not in_order(refs):
         if len(set(refs)) != len(refs):
             raise ValueError("repeated columns of a long frame")
         place = F.create_map(*[x for i, r in enumerate(refs) for x in (F.lit(r), F.lit(i))])

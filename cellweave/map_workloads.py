@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> list[int]:
-    return [r[0] for r in _table(spark, d, "part").select("p_partkey").orderBy("p_partkey").collect()]  # the labels
+    return _table(spark, d, "part").select("p_partkey").orderBy("p_partkey").toArrow().column(0).to_pylist()  # the labels
 
 
 def _rows(spark: SparkSession, d: str, where: str = "TRUE") -> SparseFrame:

@@ -245,6 +245,40 @@ def test_local_arrays_are_sent_by_parts(spark, monkeypatch):
         f.assign(v=values[:-1])
 
 
+def test_many_labels_are_held_packed(spark, monkeypatch):
+    import tracemalloc
+
+    n, sizes, create = 200_000, [], spark.createDataFrame
+    rows = spark.createDataFrame([(1, 5, 2.0), (2, n - 1, 3.0), (2, 5, -1.0)], "k long, c long, v double")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: sizes.append(len(data)) or create(data, *a, **k))
+    tracemalloc.start()
+    try:
+        f = concat([SparseFrame.from_long(rows, "k", "c", "v", list(range(n))).rename(lambda c, i=i: c + i * n) for i in range(3)], axis=1)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * n  # 24 bytes of labels for each of n, and what is on the way
+    cells = sorted(map(tuple, f.to_long().collect()))
+    assert max(sizes) < 20  # not a row object for each label
+    assert cells == sorted((k, c + i * n, v) for i in range(3) for k, c, v in [(1, 5, 2.0), (2, n - 1, 3.0), (2, 5, -1.0)])
+    assert f.shape == (2, 3 * n) and f.columns[-1] == 3 * n - 1
+
+
+def test_labels_equal_a_tuple():
+    from cellweave.frame.labels import Labels, in_order
+
+    for each in ([], [3, 1, 2], ["a", "b"], [1, "b"], [1, 2.5], [True, False], [1, 2**63], [-(2**63)], [None, 1], [np.int64(3), 4], [(1, 2), "x"]):
+        made = Labels(each)
+        assert made == tuple(each) and made == Labels(iter(each)) and list(made) == each and len(made) == len(each)
+        assert [type(x) for x in made] == [type(x) for x in each] and hash(made) == hash(tuple(each))
+        assert made + ["z"] == (*each, "z") and made + Labels([7]) == (*each, 7) and made != (*each, 0)
+        assert all(x in made and made.index(x) == each.index(x) and made[each.index(x)] == x for x in each) and "no" not in made
+        assert len(made.arrow()) == len(each) if len({type(x) for x in each}) == 1 and each != [(1, 2), "x"] and 2**63 not in each else True
+    assert Labels([1, 2]) == Labels([1.0, 2.0]) and Labels([0, 1]) == Labels([False, True]) and Labels([1]) != [1]
+    assert Labels([1, 2]).whole and Labels([np.int32(1)]).whole and not Labels([True]).whole and not Labels([1, "a"]).whole
+    assert in_order(()) and in_order(range(3)) and in_order((0, 1)) and not in_order((1, 0)) and not in_order(range(1, 3)) and not in_order(("a",))
+
+
 def test_columns(eye):
     f = eye(10, columns=list("abcdefghij"))
     assert np.array_equal(dense(f[["j", "a"]]), np.identity(10)[:, [9, 0]]) and f["b"].shape == (10, 1) and f[("c", "d")].columns == ("c", "d")
