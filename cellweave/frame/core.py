@@ -154,10 +154,12 @@ class SparseFrame:
         rows = long_rows(self._df, self._keys, self._layout, self._refs, outer=True)
         return rows.groupBy(*self._keys, COL).agg(F.sum(VALUE).alias(VALUE))
 
+    def _value(self, place: int) -> Column:
+        r = self._refs[place]
+        return F.col(r) if self._layout == WIDE else F.coalesce(F.col(CELLS)[F.lit(r)], F.lit(0.0))
+
     def _values(self) -> list[Column]:
-        if self._layout == WIDE:
-            return [F.col(r) for r in self._refs]
-        return [F.coalesce(F.col(CELLS)[F.lit(r)], F.lit(0.0)) for r in self._refs]
+        return [self._value(i) for i in range(len(self._refs))]
 
     def _as_wide(self) -> SparseFrame:
         rows = self._rows()
@@ -479,7 +481,7 @@ class SparseFrame:
             rows = self._as_wide() if len(self._labels) <= WIDE_LIMIT else self._rows()
             at = rows._labels.index(column)
             name = fresh("i")
-            out = rows._with(df=rows._df.withColumn(name, rows._values()[at]), index=[(column, name)], unique=False)
+            out = rows._with(df=rows._df.withColumn(name, rows._value(at)), index=[(column, name)], unique=False)
         else:
             raise ValueError("give column, idx or level")
         if inplace:

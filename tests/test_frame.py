@@ -279,6 +279,18 @@ def test_labels_equal_a_tuple():
     assert in_order(()) and in_order(range(3)) and in_order((0, 1)) and not in_order((1, 0)) and not in_order(range(1, 3)) and not in_order(("a",))
 
 
+def test_set_index_by_one_of_many_columns_makes_one_expression(spark, monkeypatch):
+    made, lit = [], F.lit
+    rows = spark.createDataFrame([(1, 5, 2.0), (2, 2_999, 3.0), (2, 5, -1.0), (3, 7, 1.0)], "k long, c long, v double")
+    f = SparseFrame.from_long(rows, "k", "c", "v", range(3_000))
+    monkeypatch.setattr(F, "lit", lambda x: made.append(x) or lit(x))
+    g = f.set_index(column=5)
+    assert len(made) < 100  # not one for each label
+    monkeypatch.undo()
+    assert sorted(map(tuple, g.to_long().collect())) == [(-1.0, 5, -1.0), (-1.0, 2_999, 3.0), (0.0, 7, 1.0), (2.0, 5, 2.0)]
+    assert sorted(map(tuple, f.rename(str).groupby_sum(by="5").to_long().collect())) == [(-1.0, "2999", 3.0), (-1.0, "5", -1.0), (0.0, "7", 1.0), (2.0, "5", 2.0)]
+
+
 def test_columns(eye):
     f = eye(10, columns=list("abcdefghij"))
     assert np.array_equal(dense(f[["j", "a"]]), np.identity(10)[:, [9, 0]]) and f["b"].shape == (10, 1) and f[("c", "d")].columns == ("c", "d")
