@@ -19,7 +19,8 @@ from cellweave.plans.sizes import BROADCAST_BYTES
 
 
 def label_table(spark: SparkSession, labels: Iterable, kind: str, name: str, col: str = COL) -> DataFrame:
-    """(name, col): labels and their places; broadcast if their checked size allows it."""
+    """(name, col): labels and their places; broadcast if their checked size allows it. Those over a size are
+    written to the shared folder."""
     labels = Labels(labels)
     table = local_column(spark, labels.arrow(), "__at", "__each").select(F.col("__each").cast(kind).alias(name), F.col("__at").cast("int").alias(col))
     size = sum(len(str(x)) + 32 for x in labels)

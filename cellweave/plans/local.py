@@ -11,8 +11,10 @@ from cellweave.plans.materialize import new_path
 
 #: Values of a row that is sent to the executors, which take it apart.
 _CHUNK = 1 << 16
-#: Bytes of values that go with a plan, and of a part of those that are written.
-SENT_BYTES = 8 << 20
+#: Bytes of values that go with a plan. The optimizer sees few rows there and broadcasts them, so they are few.
+SENT_BYTES = 1 << 20
+#: Bytes of a part of the values that are written.
+PART_BYTES = 8 << 20
 
 
 def _sent(values: pa.Array, first: int, place: str, name: str, spark: SparkSession) -> DataFrame:
@@ -25,9 +27,10 @@ def _sent(values: pa.Array, first: int, place: str, name: str, spark: SparkSessi
 def local_column(spark: SparkSession, values: pa.Array, place: str, name: str) -> DataFrame:
     """(place, name): local values with their places from 0. Many values are written to the shared folder part
     by part, so that beside the values the driver holds one part only. Runs a job for each part."""
-    if values.nbytes <= SENT_BYTES:
+    size = max(values.nbytes, 8 * len(values))  # booleans take bits here, but rows as others do
+    if size <= SENT_BYTES:
         return _sent(values, 0, place, name, spark)
-    path, step = new_path(spark, "local"), max(1, len(values) * SENT_BYTES // values.nbytes)
+    path, step = new_path(spark, "local"), max(1, len(values) * PART_BYTES // size)
     for first in range(0, len(values), step):
         part = _sent(values.slice(first, step), first, place, name, spark)
         part.write.mode("append").parquet(path)

@@ -229,18 +229,21 @@ def test_local_arrays_are_sent_by_parts(spark, monkeypatch):
         m.setattr(DataFrame, "collect", refuse)
         QUERIES["assign_array"](spark, "/root/testdata/sf0.001")
     sent, create = [], spark.createDataFrame
-    monkeypatch.setattr(local, "SENT_BYTES", 8_000)
+    monkeypatch.setattr(local, "SENT_BYTES", 4_000)
+    monkeypatch.setattr(local, "PART_BYTES", 8_000)
     monkeypatch.setattr(local, "_CHUNK", 300)
     f = SparseFrame.from_wide(spark.range(5_000).withColumn("x", F.lit(1.0)), "id")
     monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: sent.append(data.nbytes) or create(data, *a, **k))
     values = np.random.default_rng(0).random(5_000)
     times = np.datetime64("2024-01-01T00:00:00") + np.arange(5_000)
-    assigned, timed, named = f.assign(v=values), f.set_index(idx=times), f.set_index(idx=[f"k{i}" for i in range(5_000)])
-    assert max(sent) < 10_000 and len(sent) > 10
+    assigned, timed, named, flagged = f.assign(v=values), f.set_index(idx=times), f.set_index(idx=[f"k{i}" for i in range(5_000)]), f.loc[values > 0.5]
+    assert max(sent) < 10_000 and len(sent) > 20
+    assert "Generate" not in flagged._df._jdf.queryExecution().optimizedPlan().toString()  # read from where its size is known
     monkeypatch.undo()
     assert np.array_equal(assigned.todense()["v"].to_numpy(), values)
     assert (timed.sort_index().todense().index.to_numpy() == times).all()
     assert sorted(named.todense().index) == sorted(f"k{i}" for i in range(5_000))
+    assert sorted(flagged.todense().index) == np.nonzero(values > 0.5)[0].tolist()
     with pytest.raises(ValueError):
         f.assign(v=values[:-1])
 
